@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 from ..session import table
-from . import conversations, splitting
+from . import conversations, leakage, splitting
+
+def _leaks(spark, d):
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
 
 QUERIES = {
     "p3_found": lambda spark, d: splitting.human_turns(table(spark, d, "transcripts")),
@@ -11,5 +15,7 @@ QUERIES = {
     "p3_pieces": lambda spark, d: splitting.pieces(table(spark, d, "transcripts")),
     "p4_found": lambda spark, d: conversations.rejected(conversations.segments(spark, f"{d}/transcripts.parquet")),
     "p4_conversations": lambda spark, d: conversations.kept(conversations.segments(spark, f"{d}/transcripts.parquet")),
+    "p8_found": lambda spark, d: _leaks(spark, d).select("doc_id", "item_id"),
+    "p8_items": lambda spark, d: leakage.leaked_items(_leaks(spark, d)),
 }
 ORACLE: dict[str, str] = {}
