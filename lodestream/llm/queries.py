@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from ..session import table
-from . import conversations, leakage, splitting
+from . import conversations, history_dedup, leakage, splitting
 
 def _leaks(spark, d):
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
 QUERIES = {
+    "p2_found": lambda spark, d: history_dedup.repeats(table(spark, d, "gold_entries")),
     "p3_found": lambda spark, d: splitting.human_turns(table(spark, d, "transcripts")),
     "p3_parts": lambda spark, d: splitting.parts(table(spark, d, "transcripts")),
     "p3_pieces": lambda spark, d: splitting.pieces(table(spark, d, "transcripts")),
