@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..session import table
-from . import conversations, history_dedup, leakage, splitting
+from . import conversations, history_dedup, leakage, shared_spans, splitting
 
 def _leaks(spark, d):
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
@@ -18,5 +18,7 @@ QUERIES = {
     "p4_conversations": lambda spark, d: conversations.kept(conversations.segments(spark, f"{d}/transcripts.parquet")),
     "p8_found": lambda spark, d: _leaks(spark, d).select("doc_id", "item_id"),
     "p8_items": lambda spark, d: leakage.leaked_items(_leaks(spark, d)),
+    "p10_found": lambda spark, d: shared_spans.pairs(table(spark, d, "documents")),
+    "p10_shares": lambda spark, d: shared_spans.shares(table(spark, d, "documents")),
 }
 ORACLE: dict[str, str] = {}
