@@ -1,0 +1,142 @@
+"""Labelled texts for problem 1, made from templates: planted spans of known kind beside look-alikes."""
+
+from __future__ import annotations
+
+import random
+import re
+from collections.abc import Iterator
+
+from .personal import GIVEN
+
+_PRE = "Bergen Hollo Karst Mont Silver North Brand Alder Winter Sand Fal Ros Dun Grey Lund Thor Wald Kessel Marsh Vand".split()
+_END = "ström vik wick holt mark qvist by rick osz czy etti erlo arello dóttir üller ombe ienko ane ovar son sen ski inski mann berg stein ley".split()
+_STREETS = "Copper Mill Juniper Lantern Old Bridge Harbour Quarry Saltmarsh Elm Church Station Kiln Ferry".split()
+_TOWNS = ["Eastport", "Dunmoor", "Grünau", "Port Selva", "North Tiller", "Val Ormond", "Saint-Aubin", "Lakeport Hills", "Marlow"]
+_DOMAINS = "example.org mail.example example.com firm.test labs.example co.example corp.invalid".split()
+_WORDS = "buffer cluster handler schema watcher payload session token cache hook index queue".split()
+
+#: Sentences with slots {E} mailbox, {P} telephone, {I} id with its word, {J} bare id, {A} address, {N} name; the rest is plain text (own wording).
+POSITIVE = (
+    "Send the export to {E} when done.", "The bug was reported by {N} ({E}).", "cc {E}, {E} and {N} on the summary.", "Author: {N} <{E}>", "To: {E}", "contact = {E}",
+    'INFO user_lookup name="{N}" mail={E} hit=1', "Contacto: {N}, {E}.", "INSERT INTO people VALUES (4, '{N}', '{E}', '{P}');", '{{ "owner": "{N}", "tel": "{P}" }},',
+    "-- requested by {N}, call {P}", "WARN cannot parse phone '{P}' for row 12", "Use {P} as the pager number for tonight.", "Rollback needs a call to {P} first.",
+    "Ask {N} before you touch it, reach them under {P}.", "Le client {N} demande un rappel au {P}.", "{N};{P};{A}", "{E},{P}",
+    "user\tmobile\tpassport\n{N}\t{P}\t{J}\n{N}\t{P}\t{J}", "     4\tname\tphone\tpassport\n     5\t{N}\t{P}\t{J}\n     6\t{N}\t{P}\t{J}", "id,name,email,ssn\n7421,{N},{E},{S}\n3310,{N},{E},{S}",
+    "The test account belongs to {N}, {I}, and must stay out of the seed.", "the row that breaks has {I} in the notes column", "DEBUG check payload {I} accepted",
+    "It chokes on {I} because of the separators.", "applicant {N}; {I}; {A}", "Ship the board to {A}.", 'ship_to: "{A}"', "My new desk is at {A}, the courier can call {P}.",
+    "{N} said the invoice address changed to {A}.", "Im Ticket steht {N}, wohnhaft {A}.", "| {N} | {A} |", "reviewer is {N}", "# maintainer: {N}", "please loop in {N} tomorrow", "{N} approved the change.",
+)
+NEGATIVE = (
+    "Build {d3}-{d2}-{d4} of the Hopper Queue is red.", "Trace 555-0{d3}-{d4} belongs to Crane Scheduler.", "Job 20240{d4}{d3} finished in 1726{d3}{d3} ms.", "Log in with ssh deploy@10.0.{d2}.{d2} and look.",
+    "Clone it from git@git.host.example:core/{w}.git first.", "postgres://app@db.host.test:5432/{w} is the read replica.", "Pin @scope/{w}@2.14.{d3} in the lockfile.", "The Mercury Gateway answers on 127.0.0.1:{d4}.",
+    "The Apollo Router and Atlas Planner both pass.", "Run {d3} Main loop iterations, then St 4 of the plan.", "2025-03-{d2} 08:12:{d2} WARN late {w} in core ({d3} ms)", "commit {h}{h}", "layer sha256:{h}{h}{h} exists",
+    "    at restore{w} (src/{w}.ts:{d3}:{d2})", "engine = connect('redis://svc:{w}-x!@mq-{d2}.host.test:{d4}/{w}')", "line {d3} of {w}.py fails after {d3} attempts", "GET /{w}/{w}?n={d3} 200 {d2}ms", '  "{w}": [{d3}, {d3}],',
+    "const {w}= await mark(grace, {d3})", "import anna_{w}", "the {w} of rosa is late", "ask lin about {w} tests", "ticket K-{d4}{d4} is open", "QXIA{u} is a key id", "{w}.mark({w}, {d3})", "max {w} leo {w}", "issue {d3}-{d3}-{d4} closed", "id={d3}{d4}{d3}", "tests {d3} {d3} {d4} ok",
+)
+
+
+def _surname(r: random.Random) -> str:
+    return r.choice(_PRE)[: r.choice((3, 4, 5, 6))] + r.choice(_END)
+
+
+def _digits(r: random.Random, n: int) -> str:
+    return "".join(r.choice("0123456789") for _ in range(n))
+
+
+def _name(r: random.Random) -> str:
+    first, last = r.choice(GIVEN).capitalize(), _surname(r)
+    form = r.random()
+    if form < 0.5:
+        s = f"{first} {last}"
+    elif form < 0.6:
+        s = f"{first} {r.choice('ABCDKMRT')}. {last}"
+    elif form < 0.75:
+        s = f"{last}, {first}"
+    elif form < 0.9:
+        s = f"{first[0]}. {last}"
+    else:
+        s = f"{first} {last}".lower()
+    return s.upper() if r.random() < 0.05 else s
+
+
+def _mail(r: random.Random) -> str:
+    first, last = r.choice(GIVEN), re.sub(r"[^a-z]", "o", _surname(r).lower())
+    local = r.choice((f"{first}.{last}", f"{first}{_digits(r, 2)}", f"{last}_{first}", f"{first[0]}{last}", f"{first}-{last}", f"{first}.{last}+{r.choice(_WORDS)}"))
+    domain = r.choice(("acme-", "north", "blue", "")) + r.choice(_DOMAINS)
+    form = r.random()
+    if form < 0.75:
+        s = f"{local}@{domain}"
+    elif form < 0.85:
+        s = f"{local} (at) {domain}"
+    elif form < 0.95:
+        s = f"{local} [at] {domain.replace('.', ' [dot] ')}"
+    else:
+        s = f"{local} at {domain.replace('.', ' dot ')}"
+    return s.upper() if r.random() < 0.07 else s
+
+
+def _phone(r: random.Random) -> str:
+    d = lambda n: _digits(r, n)
+    return r.choice((
+        f"+1-{d(3)}-555-{d(4)}", f"({d(3)}) 555-{d(4)}", f"{d(3)}-555-{d(4)}", f"{d(3)}.555.{d(4)}", f"+1 {d(3)} 555 {d(4)}", f"0{d(1)}.{d(2)}.{d(2)}.{d(2)}.{d(2)}", f"+33 {d(1)} {d(2)} {d(2)} {d(2)} {d(2)}",
+        f"020 7946 {d(4)}", f"+44 7700 {d(6)}", f"07700 {d(3)} {d(3)}", f"030/{d(8)}", f"+49 30 {d(5)} {d(3)}", f"0049 (0)30 {d(5)}-{d(r.choice((2, 3)))}", f"+61 {d(3)} {d(3)} {d(3)}",
+    ))
+
+
+def _ssn(r: random.Random) -> str:
+    return f"{_digits(r, 3)}-{_digits(r, 2)}-{_digits(r, 4)}"
+
+
+def _passport(r: random.Random) -> str:
+    return r.choice("ABCKXZ") + _digits(r, 8)
+
+
+def _id(r: random.Random) -> tuple[str, str]:
+    d = lambda n: _digits(r, n)
+    social = r.choice((f"{d(3)}-{d(2)}-{d(4)}", f"{d(3)} {d(2)} {d(4)}", d(9)))
+    dni = f"{d(8)}{r.choice(('-', ''))}{r.choice('KLMNOPTUW')}"
+    tax = f"{d(2)} {d(3)} {d(3)} {d(3)}"
+    word, value = r.choice((
+        ("SSN", social), ("SSN:", social), ("ssn=", social), ("social security number", social), ("Soc. Sec. no.", social), ("DNI", dni), ("NIF:", dni), ("tax id", tax), ("Steuer-ID", tax),
+        ("passport", _passport(r)), ("passport no.", f"XF{d(7)}"), ("Reisepass", f"Z{d(1)}G{d(6)}"), ("driver's licence", f"F{d(3)}-{d(4)}-{d(4)}"), ("licence no", f"H{d(3)}-{d(4)}-{d(4)}"),
+    ))
+    return word + ("" if word.endswith("=") else " "), value
+
+
+def _address(r: random.Random) -> str:
+    n, s, t, z = r.randint(2, 480), r.choice(_STREETS), r.choice(_TOWNS), _digits(r, 5)
+    kind = r.choice(("Street", "Road", "Lane", "Drive", "Avenue", "Ct", "Rd", "Blvd."))
+    return r.choice((
+        f"{n} {s} {kind}, {t} {z}", f"{n} {s} {kind}, Apt {n % 90}B, {t}", f"{n} {s} Rd\n{t} {z}", f"{n} {s} Rd {t} {z}", f"{n} bis, rue des {s}, {z} {t}", f"{s}straße {n}, {z} {t}", f"{s}weg {n}, {z} {t}",
+        f"{s}gasse {n}, {z} {t}", f"Calle {s} {n}, 3º B, {z} {t}",
+    ))
+
+
+def _fill(r: random.Random, template: str) -> tuple[str, list[tuple[int, int, str]]]:
+    text, spans, at = "", [], 0
+    for m in re.finditer(r"\{([EPIJANS]|w|h|u|d\d)\}", template):
+        text += template[at : m.start()]
+        k, at = m[1], m.end()
+        lead = ""
+        if k == "I":
+            lead, v = _id(r)
+        else:
+            v = {"E": _mail, "P": _phone, "A": _address, "N": _name, "S": _ssn, "J": _passport}[k](r) if k in "EPANSJ" else (
+                r.choice(_WORDS) if k == "w" else "%08x" % r.getrandbits(32) if k == "h" else "".join(r.choice("ABCDEFGHJK234567") for _ in range(16)) if k == "u" else _digits(r, int(k[1])))
+        text += lead
+        if k in "EPIJANS":
+            spans.append((len(text), len(text) + len(v), {"E": "email", "P": "phone", "A": "address", "N": "person_name"}.get(k, "id_number")))
+        text += v
+    return (text + template[at:]).replace("{{", "{").replace("}}", "}") if not spans or "{{" not in template else (text + template[at:]), spans
+
+
+def make(n: int, seed: int) -> Iterator[tuple[str, list[tuple[int, int, str]]]]:
+    """``n`` texts of one to three sentences with the places of their planted spans; the same for the same seed."""
+    r = random.Random(seed)
+    for _ in range(n):
+        text, spans = "", []
+        for _ in range(r.randint(1, 3)):
+            t, s = _fill(r, r.choice(POSITIVE if r.random() < 0.6 else NEGATIVE))
+            spans += [(a + len(text), b + len(text), k) for a, b, k in s]
+            text += t + r.choice((" ", "\n"))
+        yield text, spans

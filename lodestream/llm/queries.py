@@ -3,19 +3,23 @@
 from __future__ import annotations
 
 from ..session import table
-from . import conversations, history_dedup, leakage, shared_spans, splitting
+from . import conversations, credentials, history_dedup, leakage, personal, shared_spans, splitting
 
 def _leaks(spark, d):
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
 QUERIES = {
+    "p1_found": lambda spark, d: personal.found(table(spark, d, "transcripts")),
+    "p1_redacted": lambda spark, d: personal.redact(table(spark, d, "transcripts")),
     "p2_found": lambda spark, d: history_dedup.repeats(table(spark, d, "gold_entries")),
     "p3_found": lambda spark, d: splitting.human_turns(table(spark, d, "transcripts")),
     "p3_parts": lambda spark, d: splitting.parts(table(spark, d, "transcripts")),
     "p3_pieces": lambda spark, d: splitting.pieces(table(spark, d, "transcripts")),
     "p4_found": lambda spark, d: conversations.rejected(conversations.segments(spark, f"{d}/transcripts.parquet")),
     "p4_conversations": lambda spark, d: conversations.kept(conversations.segments(spark, f"{d}/transcripts.parquet")),
+    "p5_found": lambda spark, d: credentials.found(table(spark, d, "transcripts")),
+    "p5_redacted": lambda spark, d: credentials.redact(table(spark, d, "transcripts")),
     "p8_found": lambda spark, d: _leaks(spark, d).select("doc_id", "item_id"),
     "p8_items": lambda spark, d: leakage.leaked_items(_leaks(spark, d)),
     "p10_found": lambda spark, d: shared_spans.pairs(table(spark, d, "documents")),
