@@ -136,7 +136,7 @@ def candidates(text: str) -> list[tuple[int, int, str, str]]:
     out: list[tuple[int, int, str, str]] = []
     at = text.find("@")
     while at >= 0:
-        if m := _around(_MAIL, text, at, 80, 120):
+        if (m := _around(_MAIL, text, at, 80, 120)) and not _IN_URL.search(text, max(0, m.start() - 80), m.start()):
             out.append((m.start(), m.end(), "email", "plain"))
         at = text.find("@", max(at + 1, m.end() if m else 0))
     low = text.lower()
@@ -169,6 +169,7 @@ def candidates(text: str) -> list[tuple[int, int, str, str]]:
 
 _AT_WORDS = ("(at)", "[at]", "{at}", "<at>", "( at )", "[ at ]", " dot ", "＠")
 _AT_MARK = re.compile(r"(?i)[\[({<] ?at ?[\])}>]|\bat\b|＠")
+_IN_URL = re.compile(r"://[^\s/@]*$")
 _NUMBERS = re.compile(r"[+(\d][\d().\-/ ]{7,}")
 _DATE = re.compile(r"\d{4}-\d\d-\d\d(?:[ T]\d\d)?")
 _CODES = re.compile(r"[A-Z\d][A-Z\d\-]{7,13}(?![\w\-])")

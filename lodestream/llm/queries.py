@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from ..session import table
-from . import conversations, credentials, history_dedup, leakage, personal, shared_spans, splitting
+from . import conversations, credentials, history_dedup, leakage, mixing, personal, shared_spans, splitting
 
 def _leaks(spark, d):
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def _mixture(spark, d):
+    return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
 QUERIES = {
     "p1_found": lambda spark, d: personal.found(table(spark, d, "transcripts")),
     "p1_redacted": lambda spark, d: personal.redact(table(spark, d, "transcripts")),
@@ -22,6 +26,8 @@ QUERIES = {
     "p5_redacted": lambda spark, d: credentials.redact(table(spark, d, "transcripts")),
     "p8_found": lambda spark, d: _leaks(spark, d).select("doc_id", "item_id"),
     "p8_items": lambda spark, d: leakage.leaked_items(_leaks(spark, d)),
+    "p9_mixture": _mixture,
+    "p9_shares": lambda spark, d: mixing.shares(_mixture(spark, d), table(spark, d, "mix_targets")),
     "p10_found": lambda spark, d: shared_spans.pairs(table(spark, d, "documents")),
     "p10_shares": lambda spark, d: shared_spans.shares(table(spark, d, "documents")),
 }
