@@ -28,7 +28,7 @@ from .blocks import VOCABULARY
 
 BLOCK = 5_000
 #: Units of middling size that a source's last block leaves to the landing: a very large text may stay undecided in the flight, and these make up for it.
-SPARE = 12
+SPARE = 15
 
 
 @lru_cache(maxsize=2)
