@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import core_problems
+from . import core_problems, pipeline
 
-MODULES = (core_problems,)
+MODULES = (core_problems, pipeline)
 
 
 def queries() -> dict:
