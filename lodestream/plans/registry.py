@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import core_problems, pipeline
+from . import core_problems, knowledge, pipeline
 
-MODULES = (core_problems, pipeline)
+MODULES = (core_problems, pipeline, knowledge)
 
 
 def queries() -> dict:
