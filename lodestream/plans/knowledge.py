@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import frontmatter as fm
-from ..operators import extraction, graph, ingest, reconcile, retrieval
+from ..operators import compaction, extraction, graph, ingest, provider, reconcile, retrieval
 from ..session import materialize, table
 
 
@@ -95,7 +95,15 @@ def _read_path(s, d):
     return hit.select("query_id", F.when(F.col("id").isNull(), "No relevant entries found").otherwise(F.coalesce("summary", F.lit(""))).alias("answer"), "confidence", F.date_format("last_validated", "yyyy-MM-dd").alias("last_validated"), stale.alias("stale"))
 
 
+def _compacted(s, d):
+    """Each silver row's prompt, completed by the default provider."""
+    meta = extraction.prompt_meta(_latest(s, d)).select(F.col("session_id").alias("id"), F.col("meta").alias("prompt"))
+    return provider.complete(meta)
+
+
 QUERIES = {
+    "llm_outcomes": _compacted,
+    "continuation_input": lambda s, d: compaction.prompt_route(_latest(s, d)).where("prompt = 'continue'").select("session_id", F.concat(F.col("part_info"), F.lit("\n<bronze-part>"), "session_id", F.lit("</bronze-part>")).alias("input")),
     "extract_groups": lambda s, d: extraction.extract_groups(_latest(s, d)),
     "recoverable": lambda s, d: _latest(s, d).where(extraction.recoverable()).select("session_id"),
     "stuck_monitor": lambda s, d: extraction.stuck(_latest(s, d), NOW),
@@ -165,6 +173,7 @@ p AS (SELECT cluster, action, CASE WHEN action = 'contradiction' THEN hi ELSE lo
 THREAD = f"{FIRST}, tc AS (SELECT entry_no AS id, CASE WHEN thread_id IS NULL OR thread_id IN ('', 'null') THEN entry_no ELSE min(entry_no) OVER (PARTITION BY thread_id) END AS cluster FROM first)"
 
 ORACLE = {
+    "continuation_input": f"WITH {LATEST} SELECT session_id, printf('<part-info>part %d of %d</part-info>', part_index, coalesce(total_parts, part_index)) || chr(10) || '<bronze-part>' || session_id || '</bronze-part>' AS input FROM latest WHERE coalesce(part_index, 1) > 1",
     "extract_groups": f"WITH {LATEST} SELECT silver_path, arg_max(session_id, printf('%06d', coalesce(part_index, 0)) || session_id) AS canonical, count(*) AS n_parts, max(coalesce(part_index, 0)) AS last_part FROM latest WHERE status = 'silver' AND coalesce(silver_path, '') <> '' GROUP BY 1",
     "recoverable": f"WITH {LATEST} SELECT session_id FROM latest WHERE status = 'gold' AND len(gold_paths) = 0",
     "stuck_monitor": f"WITH {LATEST} SELECT count(*) AS n_stuck FROM latest WHERE status = 'gold' AND len(gold_paths) = 0 AND try_cast(replace(extracted_at, 'Z', '') AS TIMESTAMP) > TIMESTAMP '{NOW}' - INTERVAL 24 HOURS",
@@ -184,7 +193,7 @@ SELECT doc_id, md5('---' || chr(10) || array_to_string(h, chr(10)) || chr(10) ||
     "query_text": f"SELECT entry_no, {QTEXT} AS query_text FROM gold_entries",
     "thread_ids": "SELECT session_id, CASE WHEN project_id IS NULL OR branch IS NULL OR starts_with(branch, 'DETACHED@') THEN NULL ELSE substr(sha1(project_id || ':' || branch), 1, 16) END AS thread_id FROM sidecar",
     "id_collision": "SELECT entry_no, id, first_no FROM (SELECT entry_no, id, min(entry_no) OVER (PARTITION BY id) AS first_no FROM gold_entries WHERE id IS NOT NULL) WHERE entry_no > first_no",
-    "llm_output_split": "SELECT entry_no, id, entry_type, array_to_string(list_filter(list_transform(topics, lambda x: trim(x)), lambda x: x <> ''), '|') AS topics, CAST(query_count AS BIGINT) AS query_count, trim(summary) AS body FROM gold_entries WHERE summary IS NOT NULL AND coalesce(trim(id), '') <> '' AND coalesce(entry_type, '') <> ''",
+    "llm_output_split": "SELECT entry_no, trim(id) AS id, entry_type, array_to_string(list_filter(list_transform(topics, lambda x: trim(x)), lambda x: x <> ''), '|') AS topics, CAST(query_count AS BIGINT) AS query_count, trim(summary) AS body FROM gold_entries WHERE summary IS NOT NULL AND coalesce(trim(id), '') <> '' AND coalesce(entry_type, '') <> ''",
     "owned_fields": f"SELECT entry_no, array_to_string(source_sessions[1:1], '|') AS source_sessions, CASE WHEN len(projects) > 0 AND projects[1] <> 'unknown' THEN projects[1] ELSE array_to_string(projects, '|') END AS projects, '{TODAY}' AS created, '{TODAY}' AS last_validated, CAST(0 AS BIGINT) AS query_count, 'medium' AS confidence, array_to_string(coalesce(supersedes, []), '|') AS supersedes, nullif(thread_id, 'null') AS thread_id FROM gold_entries",
     "extract_prompt_meta": f"WITH {LATEST} SELECT session_id, concat_ws(chr(10), "
     + ", ".join(f"CASE WHEN coalesce({c}, '') NOT IN ('', 'null') THEN '{k}: ' || {c} END" for k, c in (("session_id", "session_id"), ("project", "coalesce(project, project_hash)"), ("agent", "agent"), ("cwd", "cwd"), ("git_branch", "git_branch"), ("thread_id", "thread_id")))
