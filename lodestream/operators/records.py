@@ -16,8 +16,8 @@ BLOCKS = "array<struct<type:string,text:string,id:string,tool_use_id:string>>"
 def event_time(rec_ts: Column, fallback: Column | None = None) -> Column:
     """Instant of a record from ISO-8601 (any offset, ``T`` or blank) or epoch milliseconds; else ``fallback``."""
     text = F.trim(rec_ts)
-    parsed = F.when(text.rlike(r"^\d{11,14}$"), F.timestamp_millis(F.expr("try_cast(trim(rec_ts) AS BIGINT)"))).otherwise(
-        F.expr("try_cast(trim(rec_ts) AS TIMESTAMP)")
+    parsed = F.when(text.rlike(r"^\d{11,14}$"), F.timestamp_millis(text.try_cast("bigint"))).otherwise(
+        text.try_cast("timestamp")
     )
     return F.coalesce(parsed, fallback.cast("timestamp")) if fallback is not None else parsed
 
