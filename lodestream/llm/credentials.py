@@ -227,7 +227,7 @@ def redact(records: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
         for pdf in batches:
             rows = []
             for rec, raw in zip(pdf.rec_id, pdf.msg_content):
-                strings = [t for _, t, result in texts(raw) if result] or [raw]
+                strings = [t for _, t, result in texts(raw) if result] or [raw.replace("\\n", "\n").replace('\\"', '"')]
                 secrets = {v: "[REDACTED:PRIVATE_KEY]" if v.startswith("-----") else "[REDACTED:CREDENTIAL]" for t in strings for _, v in finder.find(t)}
                 if secrets:
                     rows.append((rec, len(secrets), replace_raw(raw, secrets)))
