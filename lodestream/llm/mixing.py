@@ -103,7 +103,7 @@ def _level(seed: int, last: bool):
         pdf = pdf.sort_values(["tokens", "doc_id"], ascending=[False, True], ignore_index=True)
         tokens, target = pdf.tokens.to_numpy(float), float((pdf.prob * pdf.tokens).sum())
         p = pdf.prob.to_numpy().copy()
-        spare = np.unique(np.linspace(0.02 * len(p), 0.6 * len(p), SPARE).astype(int)) if last and len(p) >= 4 * SPARE else np.empty(0, int)
+        spare = np.unique(np.linspace(max(2.0, 0.004 * len(p)), 0.4 * len(p), SPARE).astype(int)) if last and len(p) >= 4 * SPARE else np.empty(0, int)
         fly = np.setdiff1d(np.arange(len(p)), spare)
         p[fly] = flight(p[fly], tokens[fly], seed)
         undecided = np.flatnonzero((p > 0) & (p < 1))
