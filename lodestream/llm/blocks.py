@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 #: Default place of the public vocabulary; a parameter of every operator that uses it.
@@ -41,3 +42,37 @@ def replace_raw(raw: str, found: dict[str, str]) -> str:
         for spelt in dict.fromkeys((json.dumps(text, ensure_ascii=False)[1:-1], json.dumps(text)[1:-1])):
             raw = raw.replace(spelt, found[text])
     return raw
+
+
+_LITERAL = re.compile(r'"(?:[^"\\]|\\.)*"', re.DOTALL)
+_UNIT = re.compile(r"\\u[0-9a-fA-F]{4}|\\.|.", re.DOTALL)
+
+
+def replace_spans(raw: str, found: dict[str, list[tuple[int, int, str]]]) -> str:
+    """Replace spans (start, end, placeholder) of whole texts at their places in the raw JSON.
+
+    A string literal counts if it decodes to one of the texts; positions are carried over its escapes, so that every character
+    outside the spans, in any spelling, stays. The same words elsewhere in the JSON are not touched.
+    """
+    out, at = [], 0
+    for m in _LITERAL.finditer(raw):
+        try:
+            text = json.loads(m[0], strict=False)
+        except ValueError:
+            continue
+        if not (spans := found.get(text)):
+            continue
+        places, place, inner = [], m.start() + 1, m[0][1:-1]
+        if "\\" in inner:
+            half = False  # the second unit of a surrogate pair belongs to the character before
+            for u in _UNIT.finditer(inner):
+                low = len(u[0]) == 6 and u[0][2:4].lower() in ("dc", "dd", "de", "df")
+                if not (half and low):
+                    places.append(place + u.start())
+                half = len(u[0]) == 6 and u[0][2:4].lower() in ("d8", "d9", "da", "db")
+            places.append(m.end() - 1)
+        for s, e, label in sorted(spans):
+            a, b = (places[s], places[e]) if places else (place + s, place + e)
+            out += [raw[at:a], label]
+            at = b
+    return "".join(out) + raw[at:]

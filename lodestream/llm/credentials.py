@@ -53,6 +53,10 @@ URL = re.compile(r"[A-Za-z][\w+.\-]*://[^\s:/@\"'<>]*:(?P<v>[^\s/@\"'<>]+|[^\s@\
 FLAG = re.compile(r"(?:^|\s)(?:-u|--user)[ =][\"']?[^\s:\"']+:[\"']?(?P<v>[^\s\"']+)|(?:mysql|mysqldump|psql|redis-cli|sshpass|docker login|mongo\w*)\b[^|;]*?\s-(?:p|a)\s?(?P<q2>[\"']?)(?P<w>[^\s\"'-][^\s\"']*)(?P=q2)")
 #: A call that signs in: the user, then the password as a literal.
 CALL = re.compile(r"(?i)\b(?:sign_?in|log_?in|authenticate|auth)\w*\(\s*[\"'][^\"']*[\"']\s*,\s*(?P<q>[\"'])(?P<v>[^\"']+)(?P=q)")
+#: The line number that a file viewer puts before a line.
+NUMBER = re.compile(r"^\s*\d+\t")
+#: A line that goes on with the literal of the line before it; ``more`` if the literal does not end there either.
+JOINED = re.compile(r"^\s*[+.]?\s*(?P<q>[\"'`])(?P<v>[A-Za-z0-9+/_.=\-~!@#$%^&*]{6,})(?P=q)\s*(?P<more>[+\\.]?)\s*[;,)]*\s*$")
 SHORT = {"password": 4, "other": 9}
 PASSWORDS = frozenset("password passwd passphrase pwd pw pass passcode".split())
 
@@ -183,7 +187,10 @@ class Finder:
         return len(v) >= 4 and not (MASKED.search(v) or STAND_INS.search(v) or REFERENCE.match(v) or re.match(r"^[{%$<]", v)) and viterbi(v, self.words)[1] >= 2
 
     def find(self, text: str) -> list[tuple[int, str]]:
-        """(line, secret) of a text, lines from 1; a private key is its whole armoured block."""
+        """(line, secret) of a text, lines from 1; a private key is its whole armoured block.
+
+        A literal joined from several lines gives each of its parts, under the line on which it starts.
+        """
         out: list[tuple[int, str]] = []
         if not TRIGGER.search(text):
             return out
@@ -193,10 +200,19 @@ class Finder:
             if len(body) >= 40 and not MASKED.search(m[0]):
                 out.append((text.count("\n", 0, m.start()) + 1, m[0]))
                 blocks.append((m.start(), m.end()))
-        at, before = 0, ""
+        at, before, open_no = 0, "", 0
         for no, ln in enumerate(text.split("\n"), 1):
-            if TRIGGER.search(ln) and not any(s < at + len(ln) and at > s and at < e for s, e in blocks):
-                out += [(no, v) for v in dict.fromkeys(self.line(re.sub(r"^\s*\d+\t", "", ln), before)) if v]
+            part = JOINED.match(NUMBER.sub("", ln)) if open_no else None
+            if part:
+                out.append((open_no, part["v"]))
+                open_no = open_no if part["more"] else 0
+            elif TRIGGER.search(ln) and not any(s < at + len(ln) and at > s and at < e for s, e in blocks):
+                bare = NUMBER.sub("", ln)
+                values = [v for v in dict.fromkeys(self.line(bare, before)) if v]
+                out += [(no, v) for v in values]
+                open_no = no if values and bare.rstrip().endswith(tuple(f"{values[-1]}{q}{j}" for q in "'\"`" for j in (" +", " \\", "+", "\\", " .", ""))) else 0
+            else:
+                open_no = 0
             at += len(ln) + 1
             before = ln
         return out
@@ -226,14 +242,15 @@ def redact(records: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
         finder = Finder(vocabulary)
         for pdf in batches:
             rows = []
-            for rec, raw in zip(pdf.rec_id, pdf.msg_content):
-                strings = [t for _, t, result in texts(raw) if result] or [raw.replace("\\n", "\n").replace('\\"', '"')]
+            for rec, role, raw in zip(pdf.rec_id, pdf.msg_role, pdf.msg_content):
+                tool = (role or "").strip().lower() == "tool"
+                strings = [t for place, t, result in texts(raw) if result or tool and place == "content"] or [raw.replace("\\n", "\n").replace('\\"', '"')]
                 secrets = {v: "[REDACTED:PRIVATE_KEY]" if v.startswith("-----") else "[REDACTED:CREDENTIAL]" for t in strings for _, v in finder.find(t)}
                 if secrets:
                     rows.append((rec, len(secrets), replace_raw(raw, secrets)))
             yield pd.DataFrame(rows, columns=["rec_id", "n_secrets", "msg_content"])
 
-    return _tools(records).select("rec_id", "msg_content").mapInPandas(run, "rec_id long, n_secrets int, msg_content string")
+    return _tools(records).select("rec_id", "msg_role", "msg_content").mapInPandas(run, "rec_id long, n_secrets int, msg_content string")
 
 
 def _tools(records: DataFrame) -> DataFrame:

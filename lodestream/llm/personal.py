@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from .blocks import VOCABULARY, replace_raw, texts
+from .blocks import VOCABULARY, replace_spans, texts
 from .credentials import dictionary
 
 KINDS = ("email", "phone", "id_number", "address", "person_name")
@@ -46,7 +46,7 @@ _LETTER_ID = re.compile(r"(?:[XYZ]-?\d{7}-?[A-Z]|\d{8}-?[A-Z]|[A-Z]\d{3}(?:-\d{4
 _TAX = re.compile(r"(?<![\w\-.])\d{2} \d{3} \d{3} \d{3}(?![\w\-])")
 _ID_WORD = re.compile(
     r"(?i)(?:\bssn|social security|soc\. ?sec\.?|passport|reisepass|pasaporte|passeport|\bdni|\bnif|\bnie|tax id|steuer-?id|steuernummer|\btin\b|driv\w+'?s? licen[cs]e|licen[cs]e|führerschein|permis|national id\w*|personalausweis|identity)"
-    r"(?: ?(?:number|no\.?|nr\.?|num\.?|#|card))?[\"']?\s?[:=#]?\s?[\"']?(?P<v>[A-Z0-9](?:[A-Z0-9]|[ \-](?=[A-Z0-9])){5,15})(?!\w)"
+    r"(?: ?(?:number|no\.?|nr\.?|num\.?|#|card))?[\"']?\s?[:=#]?\s?[\"']?(?P<v>[A-Z0-9](?:[A-Z0-9]|[ \-](?=[A-Z0-9]*\d)){5,15})(?!\w)"
 )
 _TOWN = rf"{_L}[\w'\-]+(?:[ \-]{_L}[\w'\-]+){{0,2}}"
 _GAP = r"(?:,? ?\n?(?: *\d+\t)? *)"
@@ -382,11 +382,11 @@ def redact(records: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
             rows = []
             for rec, cwd, raw in zip(pdf.rec_id, pdf.cwd, pdf.msg_content):
                 strings = [t for _, t, _ in texts(raw)]
-                marks = {t[s:e]: f"[{k.upper()}]" for t, spans in zip(strings, select_spans(strings)) for s, e, k in spans}
+                marks = {t: [(s, e, f"[{k.upper()}]") for s, e, k in spans] for t, spans in zip(strings, select_spans(strings)) if spans}
                 dirs = path_candidates(cwd) if cwd else []
                 for s, e, k in reversed(dirs):
                     cwd = f"{cwd[:s]}[{k.upper()}]{cwd[e:]}"
-                rows.append((rec, len(marks) + len(dirs), cwd, replace_raw(raw, marks) if marks else raw))
+                rows.append((rec, sum(map(len, marks.values())) + len(dirs), cwd, replace_spans(raw, marks) if marks else raw))
             yield pd.DataFrame(rows, columns=["rec_id", "n_spans", "cwd", "msg_content"])
 
     return records.select("rec_id", "cwd", "msg_content").mapInPandas(run, "rec_id long, n_spans int, cwd string, msg_content string")

@@ -285,6 +285,27 @@ def test_credentials_found_and_redacted(transcript):
     assert credentials.found(df.limit(0)).count() == 0
 
 
+def test_joined_literals_are_redacted_whole():
+    t = "const access_token = 'ef198e20-f4bd-4f4e' +\n  '-a418-f5b4dfcdd011';\nconst n = 'plain-words';"
+    assert credentials.Finder().find(t) == [(1, "ef198e20-f4bd-4f4e"), (1, "-a418-f5b4dfcdd011")]
+    assert credentials.Finder().find("api_key = 'k2J8sQ91xZ77pLm4'\nname = 'planner-service'") == [(1, "k2J8sQ91xZ77pLm4")]
+
+
+def test_replace_spans_leaves_all_else():
+    raw = '[{"type":"text", "text":"caf\\u00e9 \\ud83d\\ude00 \\"Ana Lin\\"\\/x"},{"id":"Ana Lin"}]'
+    t = json.loads(raw)[0]["text"]
+    s = t.index("Ana")
+    done = blocks.replace_spans(raw, {t: [(s, s + 7, "[PERSON_NAME]")]})
+    assert done == raw.replace('\\"Ana Lin\\"', '\\"[PERSON_NAME]\\"')
+    assert blocks.replace_spans(raw, {}) == raw and blocks.replace_spans("cut {", {"x": [(0, 1, "y")]}) == "cut {"
+    assert blocks.replace_spans('"ab ab"', {"ab ab": [(3, 5, "Z"), (0, 2, "Y")]}) == '"Y Z"'
+
+
+def test_an_id_ends_before_the_next_word():
+    c = personal.candidates("breaks has SSN 626-00-7289 in the notes")
+    assert {"breaks has SSN 626-00-7289 in the notes"[s:e] for s, e, k, g in c if k == "id_number"} == {"626-00-7289"}
+
+
 def test_viterbi_explains_words_not_noise():
     w = credentials.dictionary()
     assert credentials.viterbi("connection_timeout", w)[1] == 0 and credentials.viterbi("QXIAJFCL6X5DM5R72CSA", w)[1] >= 14
