@@ -131,6 +131,16 @@ def test_chunk_plan_examples(transcript):
     assert chunking.chunk_plan(transcript([{"session_id": None}])).count() == 0
 
 
+def test_chunk_plan_without_groups_equals_the_fold(transcript):
+    r = random.Random(11)
+    made = []
+    for session, n, big in (("a", 160, 90), ("b", 40, 4_000), ("c", 3, 10), ("d", 1, 5_000), ("e", 90, 1)):
+        made += [{"session_id": session, "rec_type": r.choice(["user", "assistant"]), "msg_content": "x" * r.choice([0, 1, big, r.randrange(big)])} for _ in range(n)]
+    for soft, bound in ((400, 0), (7_000, 30)):
+        folded = rows(chunking.chunk_plan(transcript(made), soft))
+        assert folded == rows(chunking.chunk_plan(transcript(made), soft, fold_turns=bound))
+
+
 def test_size_buckets_are_strict(spark):
     df = spark.createDataFrame([(None,), (9_999,), (10_000,), (250_000,), (250_001,), (1_000_000_001,)], "n long")
     assert [r.b for r in df.select(ingest.size_bucket(F.col("n")).alias("b")).collect()] == ["unknown", "short", "whole", "whole", "chunk", "skipped-large"]
