@@ -11,9 +11,10 @@
 4. ``shares`` joins the texts of found pairs and extends each hit to its full length.
 
 Groups: exact copies of a text are one class, represented by its least ``doc_id``; a shard key that holds more than ``BLOCK`` windows is
-indexed in blocks, each searched by all of the key's windows. Classes of at most ``EXPAND`` copies are expanded into all pairs; of larger
-ones each copy is paired with the representative, which carries the links to other texts. If more than ``4 * EXPAND`` places share one same
-stretch, each is paired with the least document of its range: no link is lost, but not all pairs are spelt out.
+indexed in blocks, each searched by blocks of the key's windows. Classes of at most ``EXPAND`` copies are expanded into all pairs; of larger
+ones each copy is paired with the representative, which carries the links to other texts. If more than ``4 * EXPAND`` places of a shard hold
+one same stretch, the shard gives its members instead of their pairs; all pairs of different texts are then spelt out from these by a join in
+blocks of ``MEMBERS`` documents, so that no task holds more than a block's pairs.
 
 Defined results: NULL texts and texts under ``MIN_LEN`` characters share nothing; positions and lengths are in characters (code points).
 """
@@ -34,7 +35,7 @@ SPAN = MIN_LEN - SEED + 1  # seeds in a stretch of MIN_LEN
 SIDE = MIN_LEN - SEED  # characters that matter on either side of a seed
 WINDOW = SIDE + MIN_LEN
 HALF = SIDE // 2
-BLOCK, SHARD_WINDOWS, EXPAND = 4_000, 2_000, 16
+BLOCK, SHARD_WINDOWS, EXPAND, MEMBERS = 4_000, 2_000, 16, 500
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _POS_BITS = np.uint64(26)
 
@@ -198,8 +199,16 @@ class FMIndex:
         return base + both[:n], np.where(c == 0, base + both[:n], base + both[n:])
 
 
-def search(index_rows: np.ndarray, index_id: np.ndarray, rows: np.ndarray, ids: np.ndarray, inside: np.ndarray, sigma: int) -> list[tuple[int, int, int, int]]:
-    """(query row, index row, offset in the query row, offset in the index row) of shared MIN_LEN stretches around the seed. ``inside``: the row itself is indexed."""
+Hit = tuple[int, int, int, int]
+Members = tuple[int, int, np.ndarray, np.ndarray, list[tuple[int, int]]]
+
+
+def search(index_rows: np.ndarray, index_id: np.ndarray, rows: np.ndarray, ids: np.ndarray, inside: np.ndarray, sigma: int) -> tuple[list[Hit], list[Members]]:
+    """Shared MIN_LEN stretches around the seed. ``inside``: the row itself is indexed.
+
+    First (query row, index row, offset in the query row, offset in the index row); then of the stretches at many places a query row and its
+    offset that spell it, the index rows that hold it, their offsets, and all such query rows with offsets.
+    """
     fm = FMIndex(index_rows, sigma)
     need = 1 + inside.astype(np.int64)
     q = np.arange(len(rows))
@@ -230,8 +239,9 @@ def search(index_rows: np.ndarray, index_id: np.ndarray, rows: np.ndarray, ids:
         alive = hi - lo >= need[tq[k]]
         k, lo, hi = k[alive], lo[alive], hi[alive]
         if not len(k):
-            return []
-    out = []
+            return [], []
+    out: list[Hit] = []
+    many: dict[tuple[int, int], list[tuple[int, int]]] = {}
     row_of, doc_of = fm.sa // fm.width, index_id[np.minimum(fm.sa // fm.width, len(index_id) - 1)]
     seen: set[tuple[int, int, int]] = set()
     for i, a, b in zip(k.tolist(), lo.tolist(), hi.tolist()):
@@ -239,48 +249,88 @@ def search(index_rows: np.ndarray, index_id: np.ndarray, rows: np.ndarray, ids:
         if (me, a, b) in seen:
             continue
         seen.add((me, a, b))
+        if b - a > 4 * EXPAND:  # many occurrences: their pairs are made later, in blocks
+            many.setdefault((a, b), []).append((me, int(start[i])))
+            continue
         docs = doc_of[a:b]
-        if b - a > 4 * EXPAND:  # many occurrences: the least other document stands for them
-            j = int(np.argmin(np.where(docs == ids[me], np.iinfo(np.int64).max, docs)))
-            at = [j] if docs[j] != ids[me] else []
-        else:
-            at = [int(j) for j in np.unique(docs, return_index=True)[1] if docs[j] != ids[me]]
+        at = [int(j) for j in np.unique(docs, return_index=True)[1] if docs[j] != ids[me]]
         out += [(me, int(row_of[a + j]), int(start[i]), int(fm.sa[a + j] % fm.width)) for j in at]
-    return out
+    return out, [(*mine[0], row_of[a:b], fm.sa[a:b] % fm.width, mine) for (a, b), mine in many.items()]
 
 
-HITS = "doc_a long, doc_b long, pos_a long, pos_b long"
+#: A pair with a place in each; or, with a ``stretch`` and no ``doc_b``, a document that holds this stretch.
+HITS = "doc_a long, doc_b long, pos_a long, pos_b long, stretch string"
 
 
 def _shard(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Index the shard's own windows, stream all of its windows."""
+    """Index the shard's own windows, stream those that ask."""
+    import xxhash
+
+    columns = [c.split()[0] for c in HITS.split(", ")]
     if not len(pdf):
-        return pd.DataFrame([], columns=["doc_a", "doc_b", "pos_a", "pos_b"])
+        return pd.DataFrame([], columns=columns)
     chars = np.frombuffer("".join(pdf.win).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(pdf), WINDOW)
     alphabet, codes = np.unique(np.append(0, chars), return_inverse=True)
     rows = codes[1:].reshape(len(pdf), WINDOW).astype(np.int64)
-    ids, start, own = pdf.doc_id.to_numpy(), pdf.start.to_numpy(), pdf.own.to_numpy()
+    ids, start, own, asks = pdf.doc_id.to_numpy(), pdf.start.to_numpy(), pdf.own.to_numpy(), np.flatnonzero(pdf.asks)
     at = np.flatnonzero(own)
-    found = search(rows[at], ids[at], rows, ids, own, len(alphabet)) if len(at) else []
-    out = []
+    found, many = search(rows[at], ids[at], rows[asks], ids[asks], own[asks], len(alphabet)) if len(at) and len(asks) else ([], [])
+    out, members = [], []
     for me, other, mine, theirs in found:
-        a, b, pa, pb = int(ids[me]), int(ids[at][other]), int(start[me]) + mine, int(start[at][other]) + theirs
-        out.append((a, b, pa, pb) if a < b else (b, a, pb, pa))
-    return pd.DataFrame(list(dict.fromkeys(out)), columns=["doc_a", "doc_b", "pos_a", "pos_b"])
-
-
-def hits(docs: DataFrame, copied: DataFrame) -> DataFrame:
-    """A place of MIN_LEN shared characters for each pair of representatives found."""
+        a, b, pa, pb = int(ids[asks][me]), int(ids[at][other]), int(start[asks][me]) + mine, int(start[at][other]) + theirs
+        out.append((a, b, pa, pb, None) if a < b else (b, a, pb, pa, None))
+    for me, mine, index_rows, offsets, asked in many:
+        stretch = xxhash.xxh3_128_hexdigest(chars[asks[me], mine : mine + MIN_LEN].tobytes())
+        q, off = np.array(asked).T
+        places = np.stack([np.append(ids[at[index_rows]], ids[asks[q]]), np.append(start[at[index_rows]] + offsets, start[asks[q]] + off)], axis=1)
+        places = np.unique(places, axis=0)
+        if places[0, 0] != places[-1, 0]:
+            members.append(pd.DataFrame({"doc_a": places[:, 0], "doc_b": pd.array([None] * len(places), "Int64"), "pos_a": places[:, 1], "pos_b": pd.array([None] * len(places), "Int64"), "stretch": stretch}))
+    pairs_found = pd.DataFrame(list(dict.fromkeys(out)), columns=columns).astype({"doc_b": "Int64", "pos_b": "Int64"})
+    return pd.concat([pairs_found, *members], ignore_index=True) if members else pairs_found
+
+
+def spelt_out(members: DataFrame, places: bool) -> DataFrame:
+    """(doc_a, doc_b, pos_a, pos_b) of all pairs of documents that hold a same stretch, by blocks of ``MEMBERS`` documents of it.
+
+    ``places``: every place of a document meets the first place in each other one; else each pair of documents once for each set of
+    documents that holds some stretch.
+    """
+    first = members.groupBy("stretch", "doc_id").agg(F.min("pos").alias("pos"))
+    sets = first.groupBy("stretch").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("y"))
+    blocks = sets if places else sets.groupBy("n", "x", "y").agg(F.min("stretch").alias("stretch"))
+    blocks = blocks.select("stretch", F.ceil(F.col("n") / MEMBERS).cast("int").alias("blocks"))
+    own, last = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"), F.col("blocks") - 1
+    left = (members if places else first).join(blocks, "stretch").withColumn("i", own)
+    left = left.select("stretch", "i", F.explode(F.sequence(F.lit(0) if places else F.col("i"), last)).alias("j"), F.col("doc_id").alias("a"), F.col("pos").alias("pa"))
+    right = first.join(blocks, "stretch").withColumn("j", own)
+    right = right.select("stretch", F.explode(F.sequence(F.lit(0), last if places else F.col("j"))).alias("i"), "j", F.col("doc_id").alias("b"), F.col("pos").alias("pb"))
+    both = left.join(right.hint("merge"), ["stretch", "i", "j"]).where("a <> b" if places else "a <> b AND (i < j OR a < b)")
+    up = F.col("a") < F.col("b")
+    return both.select(
+        F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b"), F.when(up, F.col("pa")).otherwise(F.col("pb")).alias("pos_a"), F.when(up, F.col("pb")).otherwise(F.col("pa")).alias("pos_b")
+    )
+
+
+def hits(docs: DataFrame, copied: DataFrame, places: bool = False) -> DataFrame:
+    """A place of MIN_LEN shared characters for each pair of representatives that shares any; ``places`` as in ``spelt_out``."""
     win = materialize(windows(docs, heads(materialize(seeds(docs), "seeds"), copied)), "windows")
     n = win.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("key", "n")
     shared = win.join(n, "key")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     shards = max(1, win.count() // SHARD_WINDOWS)
-    shared = shared.withColumns({"_own": F.pmod(F.xxhash64("doc_id"), blocks), "_block": F.explode(F.sequence(F.lit(0), blocks - 1))})
-    big = F.when(F.col("n") > BLOCK, F.col("_block")).otherwise(0)
-    shard = F.when(F.col("n") > BLOCK, F.concat_ws(":", "key", "_block")).otherwise(F.pmod(F.xxhash64("key"), F.lit(shards)).cast("string"))
-    rows = shared.select(shard.alias("shard"), "doc_id", "start", "win", (F.col("_own") == big).alias("own")).distinct()
-    return rows.groupBy("shard").applyInPandas(_shard, HITS)
+    # a hot key: each block of it is the index of one shard for each block that asks
+    shared = shared.withColumn("_own", F.pmod(F.xxhash64("doc_id"), blocks).cast("int"))
+    shared = shared.withColumn("_all", F.sequence(F.lit(0), blocks - 1))
+    as_index = F.transform("_all", lambda x: F.struct(F.col("_own").alias("i"), x.alias("j")))
+    as_query = F.transform("_all", lambda x: F.struct(x.alias("i"), F.col("_own").alias("j")))
+    shared = shared.withColumn("_at", F.explode(F.array_union(as_index, as_query)))
+    hot = F.col("n") > BLOCK
+    shard = F.when(hot, F.concat_ws(":", "key", "_at.i", "_at.j")).otherwise(F.pmod(F.xxhash64("key"), F.lit(shards)).cast("string"))
+    rows = shared.select(shard.alias("shard"), "doc_id", "start", "win", (F.col("_at.i") == F.col("_own")).alias("own"), (F.col("_at.j") == F.col("_own")).alias("asks")).distinct()
+    found = materialize(rows.groupBy("shard").applyInPandas(_shard, HITS), "hits")
+    members = found.where("stretch IS NOT NULL").select("stretch", F.col("doc_a").alias("doc_id"), F.col("pos_a").alias("pos")).distinct()
+    return found.where("stretch IS NULL").drop("stretch").unionByName(spelt_out(members, places)).distinct()
 
 
 def pairs(docs: DataFrame) -> DataFrame:
@@ -306,7 +356,7 @@ def shares(docs: DataFrame) -> DataFrame:
     counted. A text with exact copies is shared as a whole.
     """
     copied = materialize(copies(docs), "copies")
-    found = hits(docs, copied)
+    found = hits(docs, copied, places=True)
     text = docs.select("doc_id", "text")
     both = found.join(text.select(F.col("doc_id").alias("doc_a"), F.col("text").alias("ta")), "doc_a").join(text.select(F.col("doc_id").alias("doc_b"), F.col("text").alias("tb")), "doc_b")
 

@@ -407,6 +407,20 @@ def test_shared_spans_against_brute_force(spark):
     assert shared_spans.pairs(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block, members", [(4_000, 500), (50, 30)])
+def test_a_stretch_of_many_texts_gives_all_pairs(spark, monkeypatch, block, members):
+    monkeypatch.setattr(shared_spans, "BLOCK", block)
+    monkeypatch.setattr(shared_spans, "MEMBERS", members, raising=False)
+    r = random.Random(15)
+    text_ = lambda n: "".join(r.choice("abcdefgh ü") for _ in range(n))
+    plate, more = text_(340), text_(200)
+    docs = [(i, text_(r.randint(0, 150)) + plate + (more if i in (70, 90) else "") + text_(r.randint(1, 150))) for i in range(120)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {tuple(x) for x in shared_spans.pairs(df).collect()} == brute_shared(docs, 300)
+    shared = {x.doc_id: x.shared_chars for x in shared_spans.shares(df).collect()}
+    assert len(shared) == 120 and min(shared.values()) >= 340 and shared[70] >= 540 and shared[90] >= 540
+
+
 def test_backward_search_counts_occurrences():
     r = random.Random(1)
     rows_ = np.array([[r.randint(1, 3) for _ in range(12)] for _ in range(20)])
