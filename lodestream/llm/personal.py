@@ -3,7 +3,7 @@
 High-recall generators propose overlapping spans of five kinds, each with a vector of format and context features. Boosted trees,
 trained on Spark on ``TRAIN_TEXTS`` labelled texts that ``personal_training`` makes (the documented bound), score them; per kind a
 threshold, calibrated on held-out texts, selects, and among overlapping spans the best score wins (mailboxes first: a name within one
-does not count). ``redact`` replaces the selected spans by typed placeholders and leaves every other character.
+does not count). The directories of ``cwd`` have trees of their own, over what their words are and where they stand. ``redact`` replaces the selected spans by typed placeholders and leaves every other character.
 
 Scale: one narrow pass over whole contents, no shuffle; only the trees are broadcast. Defined results: NULL and unreadable
 contents give nothing, tool inputs are not searched, kinds count once per string, repeated rows each count.
@@ -33,8 +33,8 @@ GIVEN = (
     "oliver omar oscar paolo paul pedro peter petra piotr priya rachel rafael raj ravi robert rosa sam samuel sara sarah sofia soren stefan sven tariq thomas tomas ulrich vera victor "
     "wanjiru wei william yara yuki yusuf zofia"
 ).split()
-#: Endings that are common in surnames (fixed values).
-SURNAME_END = re.compile(r"(?:sk[iy]|sk[ay]|strom|vik|wick|holt|mark|qvist|quist|by|rick|osz|czy|tti|rlo|llo|dottir|uller|mann?|ombe|ienko|enko|ane|ovar|son|sen|ov|ova|ez|es|ic|ian|yan|berg|stein|ton|ley|er|ini|ano|ura|ato)$")
+#: Endings that are common in surnames of many countries (fixed values); one feature among others, never a condition.
+SURNAME_END = re.compile(r"(?:sk[iya]|ska|strom|[qk]vist|quist|dottir|mann?|enko|chuk|son|sen|ov|ova|ev|eva|in|ina|ez|es|ic|vich|wicz|czyk|ian|yan|berg|stein|ton|ley|ford|er|ini|etti|ano|ura|ato|moto|escu|oglu|poulos|idis|shvili|dze|adze|vicius|wala|eira|inho)$")
 FOLD = str.maketrans("áàâäãåéèêëíìîïóòôöõøúùûüýÿñçšžčćřěůłđğışÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕØÚÙÛÜÝÑÇŠŽČŁ", "aaaaaaeeeeiiiioooooouuuuyyncszccreuldgisAAAAAAEEEEIIIIOOOOOOUUUUYNCSZCL")
 
 _L = r"[^\W\d_]"
@@ -304,23 +304,110 @@ def select(spans: list[tuple[int, int, str]], scores: np.ndarray) -> list[tuple[
 
 
 _DIR_SEP = re.compile(r"[\\/]")
-
-
-def path_candidates(cwd: str) -> list[tuple[int, int, str]]:
-    """Kinds spelt by the directories of a path: a mailbox, or a given name and a surname, apart or run together."""
-    out, at = [], 0
-    for part in _DIR_SEP.split(cwd):
-        low = part.lower().translate(FOLD)
+_CAMEL = re.compile(rf"(?:[A-ZÀ-Þ][^\W\d_A-ZÀ-Þ]+){{2,3}}")
+#: Directories whose children are named after users (fixed values).
+HOMES = frozenset("home users user people staff profiles".split() + ["documents and settings"])
+JOINTS = (".", "_", "-", " ", "camel", "joined")
+N_PATH = len(JOINTS) + 17
+
+
+@lru_cache(maxsize=2)
+def spellings(path: str) -> dict[str, tuple[float, float]]:
+    """Of each word of a ranked vocabulary the logarithms of the rank of its lower-case and of its capitalised spelling: names are commoner capitalised."""
+    import base64
+
+    out: dict[str, list[float]] = {}
+    with open(path, "rb") as f:
+        for n, line in enumerate(f):
+            token = base64.b64decode(line.split()[0]).decode("utf-8", "replace")
+            w = token.strip()
+            if len(w) >= 2 and w.isalpha() and (w.islower() or w.istitle() and token[0] == " "):  # capitalised within an identifier says nothing
+                v = out.setdefault(w.lower().translate(FOLD), [17.0, 17.0])
+                v[w.istitle()] = min(v[w.istitle()], float(np.log2(n + 2)))
+    return {w: (a, b) for w, (a, b) in out.items()}
+
+
+def path_candidates(cwd: str) -> list[tuple[int, int, str, tuple[str, ...], str, str, int]]:
+    """(start, end, kind, words, how they are joined, parent directory, directories below) of all proposals: mailboxes, and two or three words, apart or run together."""
+    out, at, parts = [], 0, _DIR_SEP.split(cwd)
+    for i, part in enumerate(parts):
+        folded, parent, below = part.translate(FOLD), parts[i - 1].lower() if i else "", len(parts) - i - 1
+        ws = tuple(w for w in re.split(r"[ ._,\-]+", folded) if w)
+        add = lambda words, joint: out.append((at, at + len(part), "person_name", tuple(w.lower() for w in words), joint, parent, below))  # noqa: E731, B023
         if _MAIL.fullmatch(part):
-            out.append((at, at + len(part), "email"))
-        elif (ws := [w for w in re.split(r"[ ._\-]+", low) if w]) and len(ws) in (2, 3) and all(w.isalpha() for w in ws) and any(w in _GIVEN for w in ws) and any(w not in _GIVEN and len(w) >= 4 and SURNAME_END.search(w) for w in ws):
-            out.append((at, at + len(part), "person_name"))
-        elif low.isalpha() and any(low.startswith(g) and len(low) - len(g) >= 5 and SURNAME_END.search(low[len(g) :]) for g in GIVEN if len(g) >= 3):
-            out.append((at, at + len(part), "person_name"))
+            out.append((at, at + len(part), "email", (), "", parent, below))
+        elif len(ws) in (2, 3) and all(w.isalpha() for w in ws) and max(map(len, ws)) >= 2:
+            add(ws, next((x for x in JOINTS[:4] if x in part.strip("._- ")), " "))
+        elif _CAMEL.fullmatch(part):
+            add(re.findall(r"[A-Z][^\W\d_A-Z]+", folded), "camel")
+        elif folded.isalpha() and 6 <= len(folded) <= 30:
+            low, known = folded.lower(), spellings(VOCABULARY)
+            for k in range(2, len(low) - 2):
+                if k >= 3 and low[:k] in _GIVEN or len(low) - k >= 3 and low[k:] in _GIVEN or k >= 4 and len(low) - k >= 4 and low[:k] in known and low[k:] in known:
+                    add((low[:k], low[k:]), "joined")
         at += len(part) + 1
     return out
 
 
+def path_features(c: tuple, words: dict[str, tuple[float, float]]) -> list[float]:
+    """What the words of a directory are, and where it stands."""
+    _, _, _, ws, joint, parent, below = c
+    given = [w in _GIVEN for w in ws]
+    one = given.index(True) if any(given) else -1
+    other = [w for i, w in enumerate(ws) if i != one]  # all but one given name
+    lower, title = ([words.get(w, (17.0, 17.0))[k] for w in other] for k in (0, 1))
+    lean = [a - b for a, b in zip(lower, title)]
+    return [
+        *[float(joint == j) for j in JOINTS], float(parent in HOMES), float(below), float(below == 0), float(len(ws)), float(sum(given)), float(bool(SURNAME_END.search(other[-1]))),
+        float(min(map(len, other))), float(max(map(len, other))), float(min(map(len, ws))), min(lower), max(lower), min(lean), max(lean), float(sum(a == b == 17.0 for a, b in zip(lower, title))), float(given[0]),
+        words.get("".join(ws), (17.0, 17.0))[0], float(len(other[-1]) >= 3 and lower[-1] < title[-1]),
+    ]
+
+
+def train_paths(spark: SparkSession, vocabulary: str = VOCABULARY, n: int = TRAIN_TEXTS) -> Trees:
+    """Boosted trees for the directories of ``cwd``, and the threshold of the best F1 on held-out paths."""
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.linalg import Vectors
+
+    from .personal_training import make_paths
+
+    words = spellings(vocabulary)
+    plain = sorted(w for w, (a, b) in words.items() if len(w) >= 3 and w.isascii() and a < b)
+
+    def sample(k: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+        got = [(path_features(c, words), float((c[0], c[1]) == span)) for path, span in make_paths(k, seed, plain) for c in path_candidates(path) if c[2] == "person_name"]
+        return np.array([a for a, _ in got]), np.array([b for _, b in got])
+
+    x, y = sample(n, 1)
+    data = spark.createDataFrame([(Vectors.dense(a), float(b)) for a, b in zip(x, y)], ["features", "label"]).coalesce(2).cache()
+    model = GBTClassifier(maxIter=14, maxDepth=4, stepSize=0.3, seed=7, maxBins=32).fit(data)
+    data.unpersist()
+    out = Trees(*_unpack(model), {})
+    hx, hy = sample(HELD_OUT, 2)
+    p = out.score(hx)
+    f1 = lambda cut: 2 * float(hy[p >= cut].sum()) / float((p >= cut).sum() + hy.sum())
+    out.thresholds["cwd"] = float(max(np.arange(0.2, 0.81, 0.05), key=lambda cut: (round(f1(cut), 4), -abs(cut - 0.5))))
+    return out
+
+
+class PathSelector:
+    """The selected directories of a path; paths repeat, so each is decided once in a task."""
+
+    def __init__(self, trees: Trees, vocabulary: str) -> None:
+        self.trees, self.words, self.seen = trees, spellings(vocabulary), {}
+
+    def __call__(self, cwd: str | None) -> list[tuple[int, int, str]]:
+        if not cwd:
+            return []
+        if cwd not in self.seen:
+            if len(self.seen) > 100_000:
+                self.seen.clear()
+            cands = path_candidates(cwd)
+            p = self.trees.score(np.array([path_features(c, self.words) if c[3] else [0.0] * N_PATH for c in cands])) if cands else []
+            self.seen[cwd] = sorted({c[:3] for c, q in zip(cands, p) if c[2] == "email" or q >= self.trees.thresholds["cwd"]})
+        return self.seen[cwd]
+
+
 class Selector:
     """Finds the selected spans of many texts at once; made once per task."""
 
@@ -351,16 +438,15 @@ class Selector:
 def found(records: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """p1_found: (rec_id, place, kind), once per string and kind."""
     spark = records.sparkSession
-    trees = spark.sparkContext.broadcast(train(spark, vocabulary))
+    trees = spark.sparkContext.broadcast((train(spark, vocabulary), train_paths(spark, vocabulary)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        select_spans = Selector(trees.value, vocabulary)
+        select_spans, select_dirs = Selector(trees.value[0], vocabulary), PathSelector(trees.value[1], vocabulary)
         for pdf in batches:
             rows: list[tuple] = []
             keys, strings = [], []
             for rec, cwd, raw in zip(pdf.rec_id, pdf.cwd, pdf.msg_content):
-                if cwd:
-                    rows += dict.fromkeys((rec, "cwd", k) for _, _, k in path_candidates(cwd))
+                rows += dict.fromkeys((rec, "cwd", k) for _, _, k in select_dirs(cwd))
                 for place, text, _ in texts(raw):
                     keys.append((rec, place))
                     strings.append(text)
@@ -374,16 +460,16 @@ def found(records: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 def redact(records: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(rec_id, n_spans, cwd, msg_content) of all rows, each selected span as ``[EMAIL]``, ``[PHONE]``, ``[ID_NUMBER]``, ``[ADDRESS]`` or ``[PERSON_NAME]``."""
     spark = records.sparkSession
-    trees = spark.sparkContext.broadcast(train(spark, vocabulary))
+    trees = spark.sparkContext.broadcast((train(spark, vocabulary), train_paths(spark, vocabulary)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        select_spans = Selector(trees.value, vocabulary)
+        select_spans, select_dirs = Selector(trees.value[0], vocabulary), PathSelector(trees.value[1], vocabulary)
         for pdf in batches:
             rows = []
             for rec, cwd, raw in zip(pdf.rec_id, pdf.cwd, pdf.msg_content):
                 strings = [t for _, t, _ in texts(raw)]
                 marks = {t: [(s, e, f"[{k.upper()}]") for s, e, k in spans] for t, spans in zip(strings, select_spans(strings)) if spans}
-                dirs = path_candidates(cwd) if cwd else []
+                dirs = select_dirs(cwd)
                 for s, e, k in reversed(dirs):
                     cwd = f"{cwd[:s]}[{k.upper()}]{cwd[e:]}"
                 rows.append((rec, sum(map(len, marks.values())) + len(dirs), cwd, replace_spans(raw, marks) if marks else raw))

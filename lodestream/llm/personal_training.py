@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from .personal import GIVEN
 
 _PRE = "Bergen Hollo Karst Mont Silver North Brand Alder Winter Sand Fal Ros Dun Grey Lund Thor Wald Kessel Marsh Vand".split()
-_END = "ström vik wick holt mark qvist by rick osz czy etti erlo arello dóttir üller ombe ienko ane ovar son sen ski inski mann berg stein ley".split()
+_END = "ström son sen ski ska mann berg stein ley ton ford ez ic ov ova enko ini etti ano escu oglu poulos dóttir quist moto ian wala".split()
 _STREETS = "Copper Mill Juniper Lantern Old Bridge Harbour Quarry Saltmarsh Elm Church Station Kiln Ferry".split()
 _TOWNS = ["Eastport", "Dunmoor", "Grünau", "Port Selva", "North Tiller", "Val Ormond", "Saint-Aubin", "Lakeport Hills", "Marlow"]
 _DOMAINS = "example.org mail.example example.com firm.test labs.example co.example corp.invalid".split()
@@ -35,7 +35,14 @@ NEGATIVE = (
 )
 
 
+def _made(r: random.Random, n: int) -> str:
+    """A word of ``n`` open syllables."""
+    return "".join(r.choice("b br ch d f g h j k l m n p r s sh st t th v w z".split()) + r.choice("a e i o u ai ou ö é".split()) for _ in range(n)) + r.choice(("", "", "n", "r", "s", "l", "k", "t"))
+
+
 def _surname(r: random.Random) -> str:
+    if r.random() < 0.5:  # any form: endings are a sign, not a condition
+        return _made(r, r.choice((2, 3))).capitalize()
     return r.choice(_PRE)[: r.choice((3, 4, 5, 6))] + r.choice(_END)
 
 
@@ -140,3 +147,47 @@ def make(n: int, seed: int) -> Iterator[tuple[str, list[tuple[int, int, str]]]]:
             spans += [(a + len(text), b + len(text), k) for a, b, k in s]
             text += t + r.choice((" ", "\n"))
         yield text, spans
+
+
+#: Names of the training paths beside the listed and the made ones (fixed values).
+_SURNAMES = "smith jones brown taylor wilson davies evans walker wright green hall wood clark moore allen young king scott hill baker adams nelson carter silva santos costa garcia lopez perez rossi russo ferrari martin bernard dubois moreau schmidt weber fischer wagner becker jansen bakker novak horvat kowalski popov petrov nguyen tran kim park lee choi wang zhang liu tanaka suzuki sato khan patel singh kumar sharma mensah okafor diallo yilmaz".split()
+_FIRSTS = "george edward margaret charles henry elizabeth susan linda patricia steven kevin brian jason ryan gary stephen larry scott frank raymond gregory patrick jack dennis jerry sergei vladimir ivana pierre claude louis francois giovanni marco luigi juan luis miguel fernanda joao hiroko takeshi ming xiao sanjay rahul fatou kofi".split()
+_TECH = "app api agent server service worker queue cache build data model test tools core web site backend frontend client gateway router scheduler planner monitor pipeline compiler parser engine library package project source config deploy docker cloud storage index search report console bridge relay ledger poller script notebook release runner manager science analysis learning platform network security mobile desktop support program files photo music archive backup report public shared common main master down notation ship".split()
+_TOPS = ("/home", "/Users", "C:\\Users", "/srv", "/opt", "/workspace", "/var/lib", "/data", "/mnt/disk", "D:\\work", "/root", "/export/home", "/home/build/src", "/srv/people")
+
+
+def _cased(r: random.Random, words: list[str], joint: str) -> str:
+    if joint == "camel":
+        return "".join(w.capitalize() for w in words)
+    case = str.capitalize if r.random() < 0.3 and joint != "" else str.lower
+    return joint.join(map(case, words))
+
+
+def make_paths(n: int, seed: int, plain: list[str]) -> Iterator[tuple[str, tuple[int, int] | None]]:
+    """``n`` paths with the place of the directory that spells a name, if any does; the same for the same seed. ``plain``: words that are commoner in lower case."""
+    r = random.Random(f"paths {seed}")
+    some = lambda w: w.translate(str.maketrans("öéü", "oeu")) if r.random() < 0.8 else w
+    for _ in range(n):
+        top, named = r.choice(_TOPS), r.random() < 0.35
+        home = re.split(r"[\\/]", top)[-1].lower() in ("home", "users", "people")
+        joint = r.choice((".", "_", "-", " ", "camel", ""))
+        if named:  # an unlisted name is known as one by its place or its words
+            first = r.choice(GIVEN) if r.random() < 0.5 else r.choice(_FIRSTS) if not home or r.random() < 0.5 else _made(r, 2)
+            last = r.choice(_SURNAMES) if r.random() < 0.4 else _surname(r).lower() if home or first in GIVEN else r.choice(_SURNAMES)
+            words = [first, last] if r.random() < 0.75 else [last, first]
+            if r.random() < 0.1 and joint:
+                words.insert(1, r.choice("abcdkmrt"))
+        else:
+            form = r.random()
+            word = lambda: r.choice(_TECH if r.random() < 0.4 else plain)
+            words = [word(), word()] if form < 0.4 else [_made(r, 2), word()] if form < 0.7 else [r.choice(GIVEN + _FIRSTS), word()] if form < 0.8 else [_made(r, 2), _made(r, 2)]
+            if form >= 0.8 and home:
+                words[1] = word()
+            if r.random() < 0.1:
+                words.append(word())
+            if joint == "" and r.random() < 0.3:
+                words = [r.choice(plain)]
+        part = _cased(r, [some(w) for w in words], joint)
+        sep = "\\" if "\\" in top else "/"
+        tail = "".join(sep + _cased(r, [r.choice((_made(r, 2), r.choice(_TECH))), r.choice(_TECH)], r.choice("-_.")) for _ in range(r.choice((0, 1, 1, 2))))
+        yield top + sep + part + tail, (len(top) + 1, len(top) + 1 + len(part)) if named else None

@@ -60,6 +60,13 @@ def test_personal_trees_equal_the_spark_model(trees):
     assert trees.score(x).shape == (3,) and len(set(trees.score(x))) == 1 and personal.labelled(5, 1, blocks.VOCABULARY)[0].shape[1] == personal.N_FEATURES
 
 
+def test_paths_spell_names_outside_the_lists(spark):
+    select = personal.PathSelector(personal.train_paths(spark, n=2_000), personal.VOCABULARY)
+    yes = "/home/john.smith /Users/maria.garcia/x /home/svetlana.kuznetsova/app /Users/JoseHernandez /home/oluwaseun_adeyemi/src /home/margaret-thatcher /home/wolfgang.mozart /home/annagruber /home/rebecca.murphy".split()
+    no = "/home/build.agent /home/ci-07/jobs/data-poller /srv/agents/relay-console /home/data.science /home/user/webserver /srv/node_modules/react-dom /home/git.runner /home/app/markdown /workspace/grace-queue".split()
+    assert sum(bool(select(x)) for x in yes) >= 8 and sum(bool(select(x)) for x in no) <= 1
+
+
 def test_personal_found_and_redacted(transcript):
     df = transcript(
         [
