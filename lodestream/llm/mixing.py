@@ -20,14 +20,14 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
 from .blocks import VOCABULARY
 
 BLOCK = 5_000
-#: Units of middling size that a source's last block leaves to the landing: a very large text may stay undecided in the flight, and these make up for it.
+#: Units of middling size of each source that no flight touches, left to the landing: a very large text may stay undecided in the flight, and these make up for it.
 SPARE = 15
 
 
@@ -94,7 +94,7 @@ def land(prob: np.ndarray, tokens: np.ndarray, short: float) -> np.ndarray:
     return choices[np.argmin(off)]
 
 
-UNIT = "source string, doc_id long, tokens long, base int, prob double, block long"
+UNIT = "source string, doc_id long, tokens long, base int, prob double, block long, spare boolean"
 
 
 def _level(seed: int, last: bool):
@@ -103,8 +103,7 @@ def _level(seed: int, last: bool):
         pdf = pdf.sort_values(["tokens", "doc_id"], ascending=[False, True], ignore_index=True)
         tokens, target = pdf.tokens.to_numpy(float), float((pdf.prob * pdf.tokens).sum())
         p = pdf.prob.to_numpy().copy()
-        spare = np.unique(np.linspace(max(2.0, 0.004 * len(p)), 0.4 * len(p), SPARE).astype(int)) if last and len(p) >= 4 * SPARE else np.empty(0, int)
-        fly = np.setdiff1d(np.arange(len(p)), spare)
+        fly = np.flatnonzero(~pdf.spare.to_numpy(bool))
         p[fly] = flight(p[fly], tokens[fly], seed)
         undecided = np.flatnonzero((p > 0) & (p < 1))
         if last and len(undecided):
@@ -115,6 +114,20 @@ def _level(seed: int, last: bool):
     return run
 
 
+def keep_back(units: DataFrame) -> DataFrame:
+    """``spare``: SPARE units of each source of 4 * SPARE or more, from the large to the middling; each block proposes, one of its proposals is taken for each size."""
+    w = Window.partitionBy("source", "block")
+    n = F.count("*").over(w)
+    place = (F.row_number().over(w.orderBy(F.col("tokens").desc(), "doc_id")) - 1).cast("int")
+    low = F.greatest(F.lit(2.0), 0.004 * F.col("_n"))
+    slots = F.transform(F.sequence(F.lit(0), F.lit(SPARE - 1)), lambda k: F.floor(low + k * (0.4 * F.col("_n") - low) / (SPARE - 1)).cast("int"))
+    slot = F.when(F.col("n_docs") >= 4 * SPARE, F.nullif(F.array_position(slots, F.col("_place")), F.lit(0)))
+    ranked = materialize(units.withColumns({"_n": n, "_place": place}).withColumn("slot", slot).drop("_n", "n_docs"), "cube-units")
+    least = ranked.where("slot IS NOT NULL").groupBy("source", "slot").agg(F.min_by(F.struct("block", "_place"), F.xxhash64("doc_id", "block")).alias("s"))
+    least = least.select("source", F.col("s.block").alias("block"), F.col("s._place").alias("_place"), F.lit(True).alias("spare"))
+    return ranked.drop("slot").join(least, ["source", "block", "_place"], "left").drop("_place").withColumn("spare", F.coalesce("spare", F.lit(False)))
+
+
 def mixture(docs: DataFrame, targets: DataFrame, total: int | None = None, vocabulary: str = VOCABULARY, seed: int = 11, block: int = BLOCK) -> DataFrame:
     """(doc_id, source, tokens, copies) of the documents used. ``total`` tokens; by default the most that the caps allow."""
     counts = materialize(token_counts(docs, vocabulary), "tokens")
@@ -126,11 +139,14 @@ def mixture(docs: DataFrame, targets: DataFrame, total: int | None = None, vocab
     rate = have.select("source", "n_docs", F.least(F.col("max_repeats").cast("double"), F.lit(size or 0.0) * F.col("target_share") / F.col("available")).alias("rate"))
     units = counts.join(rate, "source").select("source", "doc_id", "tokens", F.floor("rate").cast("int").alias("base"), (F.col("rate") - F.floor("rate")).alias("prob"), "n_docs")
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n_docs") / block))
-    units = units.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(seed)), blocks).cast("long")).drop("n_docs")
+    units = units.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(seed)), blocks).cast("long"))
+    units = keep_back(units)
+    spare, units = units.where("spare").withColumn("block", F.lit(0).cast("long")), units.where("NOT spare")
     largest = have.agg(F.max("n_docs")).first()[0] or 0
     n_blocks, decided, level = -(-largest // block), None, 0
     while True:
         last = n_blocks <= 1
+        units = units.unionByName(spare) if last else units
         done = materialize(units.groupBy("source", "block").applyInPandas(_level(seed + level, last), UNIT), f"cube-{level}")
         whole = done if last else done.where("prob = 0 OR prob = 1")
         decided = whole if decided is None else decided.unionByName(whole)

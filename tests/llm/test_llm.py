@@ -379,6 +379,16 @@ def test_mixture_shares_and_caps(spark):
     assert mixing.mixture(df.limit(0), want).count() == 0
 
 
+def test_mixture_of_several_blocks_lands_on_its_shares(spark):
+    r = random.Random(4)
+    docs = [(i, " ".join("tok" for _ in range(400 if i % 97 == 0 else r.randint(5, 60))), "big" if i % 5 else "small") for i in range(3_000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    want = spark.createDataFrame([("big", 0.6, 1), ("small", 0.4, 2)], "source string, target_share double, max_repeats int")
+    for seed in (1, 2):
+        got = mixing.shares(mixing.mixture(df, want, total=60_000, block=300, seed=seed), want).collect()
+        assert all(abs(x.actual_share - x.target_share) < 0.0005 for x in got), got
+
+
 # ---- 10
 
 
