@@ -42,8 +42,10 @@ HASHED = re.compile(r"^(?:\$2[abxy]?\$|\$argon2|\$pbkdf2|\$[156]\$|pbkdf2|scrypt
 PRIVATE = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 PRIVATE_ALL = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----.*?(?:-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----|\Z)", re.DOTALL)
 
-#: A line is looked at only if it has one of these.
-TRIGGER = re.compile(r"(?i)pass|pwd|pw\b|secret|token|key|auth|bearer|cred|basic |pem|dsn|jwt|\bpat\b|log_?in|sign_?in|://[^/\s]*:[^/\s]*@|-u\s|value\W|-----BEGIN")
+#: A line is looked at only if it has one of these; each form that the patterns below accept, in each of their contexts, has one.
+TRIGGER = re.compile(
+    r"(?i)pass|pwd|(?-i:[Pp]w(?![a-z])|PW)|pw(?:value|data|b64|base64|id)|secret|token|key|auth|bearer|cred|(?:basic|digest)\s|pem|dsn|jwt|(?-i:(?<![A-Za-z])pat(?![a-z])|Pat(?![a-z])|PAT)|log_?in|sign_?in|://[^\s:/@\"'<>]*:[^\s@]+@|-u[\s=]|--user[\s=]|mysql|psql|redis-cli|mongo|value\W|-----BEGIN"
+)
 _NAME = r"[A-Za-z_][\w.\-]*"
 ASSIGN = re.compile(
     rf"""(?P<name>(?:--)?{_NAME})(?P<q>["']?\]?)\s*(?P<op>:=|=>|==|!=|=|:|\s)\s*(?:\(|\[)?\s*(?:[rbuf]{{0,2}}(?P<quote>["'`])(?P<quoted>(?:\\.|(?!(?P=quote)).)*)|(?P<bare>[^\s,;"'`<>|\]\)}}]+))"""

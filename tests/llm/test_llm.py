@@ -282,6 +282,14 @@ def test_credentials_lines():
     assert [n for n, _ in f.find(f"one\ntwo\n{key}\n")] == [3]
 
 
+def test_the_trigger_lets_every_form_through():
+    f = credentials.Finder()
+    forms = ["redis-cli -h h -a S3kr1t9xQ", "mysql -uroot -pS3kr1t9xQ", "mysql -h db -pS3kr1t9xQ", "mysqldump -pS3kr1t9xQ db", "psql -p S3kr1t9xQ", "mongosh -p S3kr1t9xQ", "curl --user bob:X9k2Lq7z", "curl --user=bob:X9k2Lq7z", "curl -u bob:X9k2Lq7z"]
+    forms += ["psycopg://bob:X9k2/Lq7z@host.test", "github_pat = 'X9k2Lq7zR4t8Wm'", "db_pw1 = 'X9k2Lq7z'", "curl -H 'X: Digest X9k2Lq7zR4t8Wm'"]
+    for s in forms:
+        assert f.line(s, "") and [n for n, _ in f.find(f"a\n{s}")] == [2], s
+
+
 def test_credentials_found_and_redacted(transcript):
     body = "x = 1\n" + SECRETS[0] + "\ny = 2"
     nested = json.dumps([{"type": "tool_result", "tool_use_id": "t", "content": [{"type": "text", "text": "ok"}, {"type": "text", "text": SECRETS[1]}]}])
