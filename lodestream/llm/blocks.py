@@ -76,3 +76,29 @@ def replace_spans(raw: str, found: dict[str, list[tuple[int, int, str]]]) -> str
             out += [raw[at:a], label]
             at = b
     return "".join(out) + raw[at:]
+
+
+_ESCAPED = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f"}
+
+
+def unescaped(raw: str) -> tuple[str, list[int]]:
+    """A content that is no readable JSON as one text with its escapes resolved, and the place of each character in it, with the end's."""
+    out, places = [], []
+    for m in re.finditer(r"\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|\\.|.", raw, re.DOTALL):
+        u = m[0]
+        if len(u) == 12:
+            out.append(chr(0x10000 + (int(u[2:6], 16) - 0xD800) * 0x400 + int(u[8:], 16) - 0xDC00))
+        elif len(u) == 6:
+            out.append(chr(int(u[2:], 16)))
+        else:
+            out.append(_ESCAPED.get(u[1], u[1]) if len(u) == 2 else u)
+        places.append(m.start())
+    return "".join(out), [*places, len(raw)]
+
+
+def readable(raw: str) -> bool:
+    try:
+        json.loads(raw)
+    except (ValueError, RecursionError):
+        return False
+    return True

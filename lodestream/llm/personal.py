@@ -6,7 +6,7 @@ threshold, calibrated on held-out texts, selects, and among overlapping spans th
 does not count). The directories of ``cwd`` have trees of their own, over what their words are and where they stand. ``redact`` replaces the selected spans by typed placeholders and leaves every other character.
 
 Scale: one narrow pass over whole contents, no shuffle; only the trees are broadcast. Defined results: NULL and unreadable
-contents give nothing, tool inputs are not searched, kinds count once per string, repeated rows each count.
+contents give no places (``redact`` treats unreadable ones as one text), tool inputs are not searched, kinds count once per string, repeated rows each count.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from .blocks import VOCABULARY, replace_spans, texts
+from .blocks import VOCABULARY, readable, replace_spans, texts, unescaped
 from .credentials import dictionary
 
 KINDS = ("email", "phone", "id_number", "address", "person_name")
@@ -467,6 +467,15 @@ def redact(records: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
         for pdf in batches:
             rows = []
             for rec, cwd, raw in zip(pdf.rec_id, pdf.cwd, pdf.msg_content):
+                if raw and not readable(raw):  # cut off: its mentions have no place, but must not stay
+                    whole, at = unescaped(raw)
+                    spans, dirs, out = select_spans([whole])[0], select_dirs(cwd), raw
+                    for s, e, k in reversed(spans):
+                        out = f"{out[: at[s]]}[{k.upper()}]{out[at[e] :]}"
+                    for s, e, k in reversed(dirs):
+                        cwd = f"{cwd[:s]}[{k.upper()}]{cwd[e:]}"
+                    rows.append((rec, len(spans) + len(dirs), cwd, out))
+                    continue
                 strings = [t for _, t, _ in texts(raw)]
                 marks = {t: [(s, e, f"[{k.upper()}]") for s, e, k in spans] for t, spans in zip(strings, select_spans(strings)) if spans}
                 dirs = select_dirs(cwd)

@@ -60,6 +60,12 @@ def test_personal_trees_equal_the_spark_model(trees):
     assert trees.score(x).shape == (3,) and len(set(trees.score(x))) == 1 and personal.labelled(5, 1, blocks.VOCABULARY)[0].shape[1] == personal.N_FEATURES
 
 
+def test_cut_off_contents_are_redacted(transcript):
+    whole = json.dumps([{"type": "text", "text": 'Ünï 😀 "x"\nThe bug was reported by Maria Berglund (maria.berglund@example.org).\nWARN cannot parse phone \'+1-415-555-0132\' for row 12\nmore'}])
+    out = personal.redact(transcript([{"msg_content": whole[:-6]}])).collect()[0]
+    assert out.n_spans == 3 and out.msg_content == whole[:-6].replace("Maria Berglund", "[PERSON_NAME]").replace("maria.berglund@example.org", "[EMAIL]").replace("+1-415-555-0132", "[PHONE]")
+
+
 def test_paths_spell_names_outside_the_lists(spark):
     select = personal.PathSelector(personal.train_paths(spark, n=2_000), personal.VOCABULARY)
     yes = "/home/john.smith /Users/maria.garcia/x /home/svetlana.kuznetsova/app /Users/JoseHernandez /home/oluwaseun_adeyemi/src /home/margaret-thatcher /home/wolfgang.mozart /home/annagruber /home/rebecca.murphy".split()
