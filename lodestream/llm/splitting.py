@@ -33,18 +33,18 @@ PARAGRAPH, LINE, SENTENCE, WORD, ANYWHERE = 0.1, 0.4, 0.8, 1.5, 6.0
 CELL = 64
 
 
-def best_cuts(ends: np.ndarray, penalty: np.ndarray, limit: int, overlap: int) -> list[int]:
+def best_cuts(ends: np.ndarray, penalty: np.ndarray, limit: int, overlap: int, begins: bool = True) -> list[int]:
     """Indices of the positions that end a part.
 
     ``ends`` are rising cumulative sizes; a part from position i to j has ``ends[j] - ends[i]`` new bytes plus, unless it is
-    the first, ``overlap`` repeated ones. A single step that is too large for any part becomes a part of its own.
+    the first of all (``begins``), ``overlap`` repeated ones. A single step that is too large for any part becomes a part of its own.
     """
     n = len(ends)
     if n == 0:
         return []
     cum = np.concatenate([[0], ends]).astype(np.float64)
     room = np.full(n + 1, float(limit - overlap))
-    room[0] = float(limit)
+    room[0] = float(limit if begins else limit - overlap)
     target = max(1.0, cum[-1] / max(1, np.ceil(cum[-1] / (limit - overlap))))
     cost, back = np.full(n + 1, np.inf), np.zeros(n + 1, dtype=np.int64)
     cost[0] = 0.0
@@ -150,7 +150,7 @@ def units(records: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> Dat
         ends = pdf.n_bytes.to_numpy().cumsum()
         penalty = np.append(np.where(pdf.human.to_numpy()[1:], HUMAN, RECORD), 0.0)
         part = np.zeros(len(pdf), dtype=np.int64)
-        for k in best_cuts(ends, penalty, limit, overlap)[:-1]:
+        for k in best_cuts(ends, penalty, limit, overlap, pdf.rec_no[0] == 1)[:-1]:
             part[k + 1 :] += 1
         pdf["part_in_block"], pdf["starts_part"] = part, np.append(True, part[1:] != part[:-1])
         pdf["part_bytes"] = pdf.groupby("part_in_block").n_bytes.transform("sum")
@@ -162,8 +162,9 @@ def units(records: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> Dat
 def parts(records: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
     """Numbered parts of the sessions over the limit, as the records they hold and the stretch they repeat.
 
-    ``overlap_bytes`` is the length of the end of the part before that the part repeats. A part that holds one record
-    over the limit is cut further by ``pieces``; ``n_pieces`` says into how many.
+    ``overlap_bytes`` is the length of the end of the part before that the part repeats; it starts at byte ``overlap_from`` of the content of
+    record ``overlap_uuid``. A record that leaves less room repeats as much as fits. A part that holds one record over the limit repeats
+    nothing and is cut further by ``pieces``; ``n_pieces`` says into how many.
     """
     u = units(records, limit, overlap)
     p = u.groupBy("session_id", "block", "part_in_block", "session_bytes").agg(
@@ -171,11 +172,18 @@ def parts(records: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> Dat
         F.min_by("human", "rec_no").alias("begins_human"), F.max("part_bytes").alias("new_bytes"),
     )
     w = Window.partitionBy("session_id").orderBy("first_rec")
-    p = p.withColumns({"part_index": F.row_number().over(w), "overlap_bytes": F.least(F.lit(overlap).cast("long"), F.coalesce(F.lag("new_bytes").over(w), F.lit(0)))})
+    back = Window.partitionBy("session_id", "block", "part_in_block").orderBy(F.desc("rec_no"))
+    tail = u.withColumn("upto", F.sum("n_bytes").over(back)).where((F.col("n_bytes") > 0) & (F.col("upto") - F.col("n_bytes") < overlap))
+    tail = tail.groupBy("session_id", "block", "part_in_block").agg(F.sort_array(F.collect_list(F.struct("upto", "uuid"))).alias("tail"))
+    p = p.join(tail, ["session_id", "block", "part_in_block"], "left")
+    room = F.greatest(F.lit(0).cast("long"), F.lit(limit) - F.col("new_bytes"))
+    p = p.withColumns({"part_index": F.row_number().over(w), "overlap_bytes": F.least(F.lit(overlap).cast("long"), room, F.coalesce(F.lag("new_bytes").over(w), F.lit(0))), "before": F.lag("tail").over(w)})
+    source = F.when(F.col("overlap_bytes") > 0, F.get(F.filter("before", lambda x: x.upto >= F.col("overlap_bytes")), F.lit(0)))
+    p = p.withColumns({"overlap_uuid": source.uuid, "overlap_from": source.upto - F.col("overlap_bytes")})
     n = pieces(records, limit, overlap).groupBy(F.col("uuid").alias("first_uuid")).agg(F.max("total_pieces").alias("n_pieces"))
     return p.join(n, "first_uuid", "left").select(
         "session_id", "part_index", "first_uuid", "last_uuid", "begins_human", (F.col("last_rec") - F.col("first_rec") + 1).alias("n_records"),
-        "new_bytes", "overlap_bytes", F.coalesce("n_pieces", F.lit(1)).alias("n_pieces"),
+        "new_bytes", "overlap_bytes", "overlap_uuid", "overlap_from", F.coalesce("n_pieces", F.lit(1)).alias("n_pieces"),
     )
 
 

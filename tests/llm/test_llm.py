@@ -192,6 +192,18 @@ def test_pieces_cover_the_text_within_the_limit():
             assert i == 0 or 396 <= start - back <= 400
 
 
+def test_parts_with_their_overlap_stay_within_the_limit(transcript, monkeypatch):
+    monkeypatch.setattr(splitting, "BLOCK_PARTS", 3)
+    r = random.Random(21)
+    sizes = [r.choice((60, 90, 150, 480, 495, 500)) for _ in range(80)]
+    got = splitting.parts(transcript([{"msg_content": "x" * n} for n in sizes]), limit=500, overlap=40).orderBy("part_index").collect()
+    assert len(got) > 20 and sum(p.new_bytes for p in got) == sum(sizes)
+    assert all(p.new_bytes + p.overlap_bytes <= 500 for p in got)
+    for a, b in zip(got, got[1:]):
+        at, last = int((b.overlap_uuid or a.last_uuid)[1:]), int(a.last_uuid[1:])
+        assert not b.overlap_bytes or sum(sizes[at : last + 1]) - b.overlap_from == b.overlap_bytes
+
+
 def test_human_turns_of_large_sessions(transcript):
     big = text("y" * 9_000)
     df = transcript(
