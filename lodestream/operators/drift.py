@@ -1,15 +1,19 @@
 """Schemas that drift between files: rescue-column ingestion.
 
-1. ``ingest`` enforces the target schema: a field that is present under its own name with a castable value is
-   typed; every unknown or uncastable field is kept, as JSON, in the ``rescued`` map (path -> variant).
-2. ``placements`` says under which path and with which type each target field occurs, using the approved paths
-   (promotion) and, for paths nobody approved yet, the words of the path.
-3. ``replay`` moves rescued values of promoted paths into the typed columns.
-4. ``changes`` compares each file with the previous file of its host.
-
-Defined results: cut-off lines are unreadable and count for nothing, NULL values are no values, a line that
-is no JSON object has no fields, a file's placement of a field is the one most of its lines use (ties: the
-smallest path), and a host's first file gives no change.
+1. ``ingest`` enforces the target schema line by line: a field under its own name with a castable value is typed; every unknown or uncastable
+   field is kept, as JSON, in the ``rescued`` map (key -> JSON text). All later steps read this table, never the raw lines again.
+2. ``propose`` examines the rescued paths: which could hold a target field, by the words of their name or because their values agree with the typed
+   values of the same session elsewhere. ``approve`` makes the promotion table (field_name, path) of it; a table from a reviewer serves as well.
+3. ``replay`` moves the rescued values of approved paths into the typed columns; what they do not hold stays rescued.
+4. ``changes`` says where and with which type each file holds each field, typed or rescued, and compares it with the host's previous file.
+
+Names of the given files are written nowhere: a field under a name never seen before is promoted by the same evidence.
+
+Scale: ``ingest`` is narrow; the rescued map is exploded with its keys only; evidence is summed per path, so no group but the counts leaves a task.
+
+Defined results: cut-off lines and lines that are no JSON object, or name a key twice, are unreadable and count for nothing; JSON nulls are no values; of
+several places of a field in a line an inner path holds before the field's own name, that before other names (ties: the smallest path); a file's place of a field is the
+one most of its lines use (ties: the smallest path), and a host's first file gives no change.
 """
 
 from __future__ import annotations
@@ -19,92 +23,134 @@ from pyspark.sql import functions as F
 
 #: Target fields in the order of the consolidated table.
 TARGET = ("cwd", "git_branch", "session_started_at", "thread_id")
-#: Approved paths for each target field. A dotted path lies inside an object.
-APPROVED = {
-    "cwd": ("cwd", "workingDir", "work_dir", "current_directory", "cwdPath"),
-    "git_branch": ("git_branch", "branch", "gitBranch", "branch_name", "git.branch"),
-    "session_started_at": ("session_started_at", "sessionStartedAt", "start_time", "started_at", "session.start"),
-    "thread_id": ("thread_id", "threadId", "thread", "conversation_thread", "thread.id"),
+#: Words (in the name of a path) that can mean the field: the telling words of its own name and their plain synonyms (fixed values).
+HEAD = {
+    "cwd": ("cwd", "dir", "directory", "folder"),
+    "git_branch": ("branch",),
+    "session_started_at": ("start", "started", "begin", "began", "begun"),
+    "thread_id": ("thread",),
 }
-#: Words by which a path that was never approved is proposed for promotion.
-WORDS = {
-    "cwd": r"(?i)(^|[._])cwd|work(ing)?_?dir|current_?dir|directory$",
-    "git_branch": r"(?i)branch",
-    "session_started_at": r"(?i)start",
-    "thread_id": r"(?i)thread",
-}
-#: Keys inside an object value of a field (a retyped value, not a place of its own).
-PARTS = {"git_branch": ("label", "name"), "thread_id": ("value",), "session_started_at": ("value",), "cwd": ("path",)}
-
-
-def fields(lines: DataFrame) -> DataFrame:
-    """One row per line and path (top level and one level down) with a value: path, parent, variant, type."""
-    keys = [c for c in ("file_name", "host", "file_seq", "line_no") if c in lines.columns]
-    top = lines.select(*keys, F.try_parse_json("raw_line").alias("_doc")).where("_doc IS NOT NULL AND schema_of_variant(_doc) LIKE 'OBJECT<%'")
-    top.createOrReplaceTempView("_drift_lines")
-    spark, cols = lines.sparkSession, ", ".join(f"l.{k}" for k in keys)
-    first = spark.sql(f"SELECT {cols}, e.key AS path, e.value AS value FROM _drift_lines l, LATERAL variant_explode(l._doc) e")
-    first = first.withColumn("parent", F.lit(""))
-    first.where("schema_of_variant(value) LIKE 'OBJECT<%'").createOrReplaceTempView("_drift_objects")
-    second = spark.sql(
-        f"SELECT {cols}, concat(l.path, '.', e.key) AS path, e.value AS value, l.path AS parent FROM _drift_objects l, LATERAL variant_explode(l.value) e"
-    )
-    both = first.unionByName(second).withColumn("kind", json_kind(F.col("value")))
-    return both.where("kind <> 'null'")
+KEYS = ("file_name", "host", "file_seq", "line_no")
+VARIANTS = "map<string,variant>"
 
 
-def json_kind(value: Column) -> Column:
-    """string, number, array, object, boolean or null of a variant."""
-    s = F.schema_of_variant(value)
+def json_kind(json: Column) -> Column:
+    """string, number, array, object, boolean or null of a JSON text."""
+    c = F.substring(F.ltrim(json), 1, 1)
     return (
-        F.when(s.isNull() | (s == "VOID"), "null")
-        .when(s.startswith("ARRAY"), "array")
-        .when(s.startswith("OBJECT"), "object")
-        .when(s == "BOOLEAN", "boolean")
-        .when(s == "STRING", "string")
-        .otherwise("number")
-    )
+        F.when(c == '"', "string").when(c == "[", "array").when(c == "{", "object").when(c.isin("t", "f"), "boolean").when(c == "n", "null").otherwise("number")
+    )
 
 
-def _places(found: DataFrame) -> DataFrame:
-    """Candidate (field, path) of every path, approved ones first; an inner approved path beats its container."""
-    rank = None
-    rows = []
-    for field in TARGET:
-        inner = [p for p in APPROVED[field] if "." in p]
-        own = F.col("path").isin(*APPROVED[field])
-        leaf = F.element_at(F.split("path", r"\."), -1)
-        worded = F.when(F.col("parent") == "", F.col("path").rlike(WORDS[field]) & (F.col("kind") != "object")).otherwise(
-            leaf.rlike(WORDS[field]) | (F.col("parent").rlike(WORDS[field]) & ~leaf.isin(*PARTS[field], "dirty") & ~F.col("parent").isin(*APPROVED[field]))
-        )
-        others = [p for f in TARGET for p in APPROVED[f] if f != field]
-        rank = F.when(F.col("path").isin(*inner), 0).when(F.col("path") == field, 1).when(own, 2).when(worded & ~F.col("path").isin(*others), 3)
-        rows.append(F.struct(F.lit(field).alias("field_name"), rank.alias("rank")))
-    return found.withColumn("_p", F.explode(F.array(*rows))).where("_p.rank IS NOT NULL").select("*", "_p.field_name", "_p.rank").drop("_p")
+def _members(json: Column) -> Column:
+    """Map of an object's keys to the JSON texts of their values; NULL for anything else."""
+    return F.transform_values(F.try_parse_json(json).try_cast(VARIANTS), lambda _, v: F.to_json(v))
+
+
+def _string(json: Column) -> Column:
+    return F.try_variant_get(F.try_parse_json(json), "$", "string")
 
 
-def line_values(lines: DataFrame) -> DataFrame:
-    """The value of each target field in each line: the best-ranked place of the line."""
-    keys = ["file_name", "host", "file_seq", "line_no"]
-    placed = _places(fields(lines))
-    best = F.min_by(F.struct("path", "kind", F.to_json("value").alias("json"), F.col("value").cast("string").alias("text")), F.struct("rank", "path"))
-    return placed.groupBy(*keys, "field_name").agg(best.alias("v")).select(*keys, "field_name", "v.*")
+def ingest(lines: DataFrame) -> DataFrame:
+    """Enforce the target schema: (keys, session_id, the target fields, rescued). Unreadable lines have no fields and NULL in ``rescued``; other columns are dropped."""
+    own = ("session_id", *TARGET)
+    read = lines.select(*KEYS, F.transform_values(F.try_parse_json("raw_line").try_cast(VARIANTS), lambda _, v: F.to_json(v)).alias("_m"))
+    left = F.map_filter("_m", lambda k, v: (v != "null") & ~(k.isin(*own) & (json_kind(v) == "string")))
+    typed = [F.when(json_kind(F.col("_m")[f]) == "string", _string(F.col("_m")[f])).alias(f) for f in own]
+    return read.select(*KEYS, *typed, left.alias("rescued"))
+
+
+def rescued_paths(ingested: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per line and rescued path, top level and one level down: (keys, path, parent, json), with the columns to keep. Inner nulls too."""
+    cols = [*KEYS, *keep]
+    top = ingested.select(*cols, F.explode("rescued").alias("path", "json"))
+    inner = top.where(json_kind(F.col("json")) == "object").select(*cols, F.col("path").alias("parent"), F.explode(_members(F.col("json"))).alias("leaf", "json"))
+    inner = inner.select(*cols, F.concat_ws(".", "parent", "leaf").alias("path"), "json", "parent")
+    return top.withColumn("parent", F.lit("")).unionByName(inner)
+
+
+def _words(name: Column) -> Column:
+    return F.transform(F.regexp_extract_all(name, F.lit(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+"), 0), lambda w: F.lower(w))
+
+
+def named_for(path: Column, parent: Column, field: str) -> Column:
+    """Do the words of a path name the field? Inside an object the path does if the object's name alone does not, or lacks a word of the field's that the key has."""
+    head, own = F.array(*map(F.lit, HEAD[field])), F.array(*map(F.lit, field.split("_")))
+    leaf, up = _words(F.element_at(F.split(path, r"\."), -1)), _words(parent)
+    missing = F.array_except(own, F.array_union(up, head))
+    return F.when(parent == "", F.arrays_overlap(leaf, head)).otherwise(
+        (parent != field) & ((~F.arrays_overlap(up, head) & F.arrays_overlap(leaf, head)) | (F.arrays_overlap(up, head) & F.arrays_overlap(leaf, missing)))
+    )
 
 
-def placements(lines: DataFrame) -> DataFrame:
-    """Path and type of each target field in each file, with the number of lines that use it."""
-    counted = line_values(lines).groupBy("file_name", "host", "file_seq", "field_name", "path", "kind").agg(F.count("*").alias("n_lines"))
-    top = F.min_by(F.struct("path", "kind", "n_lines"), F.struct(-F.col("n_lines"), "path", "kind"))
-    return counted.groupBy("file_name", "host", "file_seq", "field_name").agg(top.alias("v")).select("file_name", "host", "file_seq", "field_name", "v.*")
+def plain(field: Column, json: Column) -> Column:
+    """The text of a value in the field's one type: segments of a path joined, an object's first text, epoch milliseconds as an instant, numbers as digits."""
+    kind = json_kind(json)
+    segments = F.concat(F.lit("/"), F.array_join(F.from_json(json, "array<string>"), "/"))
+    stamp = F.date_format(F.timestamp_millis(json.try_cast("bigint")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return (
+        F.when(kind == "string", _string(json)).when(kind == "array", segments).when(kind == "object", _string(F.element_at(_members(json), part(json))))
+        .when((kind == "number") & (field == "session_started_at"), stamp).otherwise(json)
+    )
 
 
-def changes(lines: DataFrame) -> DataFrame:
-    """p7: the change of each target field from the host's previous file to this one."""
-    files = lines.select("file_name", "host", "file_seq").distinct()
+def part(json: Column) -> Column:
+    """The key of an object's first text, in order of the keys."""
+    texts = F.map_filter(_members(json), lambda _, v: json_kind(v) == "string")
+    return F.array_min(F.map_keys(texts))
+
+
+def propose(ingested: DataFrame) -> DataFrame:
+    """Rescued paths that could hold a target field: (field_name, path, by_name, n_lines, n_known, n_equal, n_beside).
+
+    ``n_known`` counts the lines whose session has the field typed in some line, ``n_equal`` those of them with an equal value,
+    ``n_beside`` the lines that have the field under its own name as well: a path that stands beside the field is another field.
+    """
+    seen = rescued_paths(ingested, ("session_id", *TARGET)).where("json <> 'null'").where(~F.col("path").isin(*TARGET))
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), named_for(F.col("path"), F.col("parent"), f).alias("by_name"), F.col(f).isNotNull().alias("beside")) for f in TARGET]))
+    seen = seen.select("session_id", "path", "json", each.alias("_f")).select("session_id", "path", "_f.*", plain(F.col("_f.field_name"), F.col("json")).alias("value"))
+    typed = ingested.select("session_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("value")) for f in TARGET])).alias("_t")).select("session_id", "_t.*")
+    known = typed.where("session_id IS NOT NULL AND value IS NOT NULL").groupBy("session_id", "field_name").agg(F.collect_set("value").alias("known"))
+    equal = F.array_contains("known", F.col("value"))
+    counts = seen.join(known, ["session_id", "field_name"], "left").groupBy("field_name", "path").agg(
+        F.bool_or("by_name").alias("by_name"), F.count("*").alias("n_lines"), F.count_if(F.col("known").isNotNull()).alias("n_known"), F.count_if(equal).alias("n_equal"), F.count_if("beside").alias("n_beside")
+    )
+    return counts.where((F.col("n_beside") * 2 < F.col("n_lines")) & (F.col("by_name") | (F.col("n_equal") > 0)))
+
+
+def approve(proposals: DataFrame, support: int = 2, share: float = 0.5) -> DataFrame:
+    """The promotion table (field_name, path): each path for one field, by its name, or by at least ``support`` equal values in that share of the known ones."""
+    good = proposals.where(F.col("by_name") | ((F.col("n_equal") >= support) & (F.col("n_equal") >= share * F.col("n_known"))))
+    order = F.struct(~F.col("by_name"), -F.col("n_equal"), "field_name")
+    best = good.groupBy("path").agg(F.min_by("field_name", order).alias("field_name"), F.min_by("by_name", order).alias("by_name")).select("field_name", "path", "by_name")
+    # a key's value may agree only because its object gives the same text: the object is the place unless the key's name says otherwise
+    itself = best.sparkSession.createDataFrame([(f, f) for f in TARGET], "field_name string, _root string")
+    objects = best.where("path NOT LIKE '%.%'").select("field_name", F.col("path").alias("_root")).unionByName(itself)
+    inner = best.where("path LIKE '%.%' AND NOT by_name").withColumn("_root", F.substring_index("path", ".", 1)).join(objects, ["field_name", "_root"], "left_anti")
+    return best.where("path NOT LIKE '%.%' OR by_name").select("field_name", "path").unionByName(inner.select("field_name", "path"))
+
+
+def placed(ingested: DataFrame, approved: DataFrame) -> DataFrame:
+    """The place of each target field in each line: (keys, field_name, path, json); typed values stand under the field's own name."""
+    own = F.array_compact(F.array(*[F.when(F.col(f).isNotNull(), F.lit(f)) for f in TARGET]))
+    typed = ingested.select(*KEYS, F.explode(own).alias("field_name")).withColumns({"path": F.col("field_name"), "json": F.lit('""'), "rank": F.lit(1)})
+    itself = ingested.sparkSession.createDataFrame([(f, f) for f in TARGET], "field_name string, path string")
+    rank = F.when(F.col("path").contains("."), 0).when(F.col("path") == F.col("field_name"), 1).otherwise(2)
+    other = rescued_paths(ingested).join(approved.select("field_name", "path").unionByName(itself).distinct(), "path").select(*KEYS, "field_name", "path", "json", rank.alias("rank"))
+    best = typed.unionByName(other).groupBy(*KEYS, "field_name").agg(F.min_by(F.struct("path", "json"), F.struct("rank", "path")).alias("v"))
+    return best.select(*KEYS, "field_name", "v.*").where("json <> 'null'")
+
+
+def changes(ingested: DataFrame, approved: DataFrame | None = None) -> DataFrame:
+    """p7: the change of each target field from the host's previous file to this one; without ``approved`` every good proposal counts."""
+    approved = approve(propose(ingested)) if approved is None else approved
+    files = ingested.select("file_name", "host", "file_seq").distinct()
+    counted = placed(ingested, approved).groupBy("file_name", "host", "file_seq", "field_name", "path", json_kind(F.col("json")).alias("kind")).agg(F.count("*").alias("n"))
+    place = counted.groupBy("file_name", "host", "file_seq", "field_name").agg(F.min_by(F.struct("path", "kind"), F.struct(-F.col("n"), "path", "kind")).alias("v"))
     grid = files.withColumn("field_name", F.explode(F.array(*map(F.lit, TARGET))))
     w = Window.partitionBy("host", "field_name").orderBy("file_seq", "file_name")
     seen = (
-        grid.join(placements(lines), ["file_name", "host", "file_seq", "field_name"], "left")
+        grid.join(place.select("file_name", "host", "file_seq", "field_name", "v.*"), ["file_name", "host", "file_seq", "field_name"], "left")
         .withColumn("_first", F.row_number().over(w) == 1)
         .withColumns({"old_path": F.lag("path").over(w), "old_kind": F.lag("kind").over(w)})
         .where("NOT _first")
@@ -121,39 +167,23 @@ def changes(lines: DataFrame) -> DataFrame:
     return seen.select("file_name", "field_name", F.explode(kinds).alias("change_kind"))
 
 
-def ingest(lines: DataFrame) -> DataFrame:
-    """Enforce the target schema: typed where a field has its own name and a castable value, all else rescued.
+def replay(ingested: DataFrame, approved: DataFrame | None = None) -> DataFrame:
+    """The consolidated table: rescued values of approved paths cast into the typed columns, one name and type each.
 
-    ``rescued`` maps each unknown or uncastable top-level path to its JSON text.
+    Arrays of path segments become a path, objects give their first text, and numbers in ``session_started_at`` are epoch milliseconds; a numeric thread
+    id is its decimal text. What was not moved stays in ``rescued``, also the other keys of an object that gave a value.
     """
-    keys = ["file_name", "host", "file_seq", "line_no"]
-    top = fields(lines).where("parent = ''").withColumn("text", F.col("value").cast("string"))
-    fits = F.col("path").isin("session_id", *TARGET) & (F.col("kind") == "string")
-    typed = [F.max(F.when(fits & (F.col("path") == f), F.col("text"))).alias(f) for f in ("session_id", *TARGET)]
-    left = F.collect_list(F.when(~fits, F.struct("path", F.to_json("value").alias("json"))))
-    return top.groupBy(*keys).agg(*typed, F.map_from_entries(F.array_sort(left)).alias("rescued"))
-
-
-def replay(lines: DataFrame) -> DataFrame:
-    """The consolidated table: promoted rescued values cast into the typed columns, one name and type each.
-
-    Arrays of path segments become a path, objects give their label, and numbers in ``session_started_at`` are
-    epoch milliseconds; a numeric thread id is its decimal text. What was not promoted stays in ``rescued``.
-    """
-    keys = ["file_name", "host", "file_seq", "line_no"]
-    text, js = F.col("text"), F.col("json")
-    segments = F.concat(F.lit("/"), F.array_join(F.from_json(js, "array<string>"), "/"))
-    inner = F.coalesce(*[F.get_json_object(js, f"$.{k}") for k in ("label", "name", "value", "path", "id")])
-    plain = F.when(F.col("kind") == "array", segments).when(F.col("kind") == "object", inner).otherwise(text)
-    stamp = F.date_format(F.timestamp_millis(F.expr("try_cast(text AS BIGINT)")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    cast = F.when((F.col("field_name") == "session_started_at") & (F.col("kind") == "number"), stamp).otherwise(plain)
-    values = line_values(lines).withColumn("value", cast).groupBy(*keys)
-    wide = values.agg(*[F.max(F.when(F.col("field_name") == f, F.col("value"))).alias(f"new_{f}") for f in TARGET], F.collect_set("path").alias("_promoted"))
-    base = ingest(lines)
-    roots = F.transform("_promoted", lambda p: F.split(p, r"\.")[0])
-    return (
-        base.join(wide, keys, "left")
-        .withColumns({f: F.coalesce(f"new_{f}", f) for f in TARGET})
-        .withColumn("rescued", F.map_filter("rescued", lambda k, _: ~F.coalesce(F.array_contains(roots, k), F.lit(False))))
-        .select(*keys, "session_id", *TARGET, "rescued")
-    )
+    approved = approve(propose(ingested)) if approved is None else approved
+    moved = placed(ingested, approved).where(F.col("json") != '""').withColumn("value", plain(F.col("field_name"), F.col("json"))).where("value IS NOT NULL")
+    taken = F.when(json_kind(F.col("json")) == "object", F.concat_ws(".", "path", part(F.col("json")))).otherwise(F.col("path"))
+    wide = moved.withColumn("_taken", taken).groupBy(*KEYS).agg(*[F.max(F.when(F.col("field_name") == f, F.col("value"))).alias(f"new_{f}") for f in TARGET], F.collect_set("_taken").alias("_taken"))
+    gone = F.coalesce("_taken", F.array().cast("array<string>"))
+
+    def rest(k: Column, v: Column) -> Column:
+        """A rescued value without the keys that were moved (two levels)."""
+        inside = F.map_filter(F.try_parse_json(v).try_cast(VARIANTS), lambda k2, _: ~F.array_contains(gone, F.concat_ws(".", k, k2)))
+        touched = F.exists(gone, lambda g: g.startswith(F.concat(k, F.lit("."))))
+        return F.when(touched & (json_kind(v) == "object"), F.nullif(F.to_json(inside), F.lit("{}"))).otherwise(v)
+
+    left = F.map_filter(F.transform_values(F.map_filter("rescued", lambda k, _: ~F.array_contains(gone, k)), rest), lambda _, v: v.isNotNull())
+    return ingested.where("rescued IS NOT NULL").join(wide, list(KEYS), "left").select(*KEYS, "session_id", *[F.coalesce(f, f"new_{f}").alias(f) for f in TARGET], left.alias("rescued"))

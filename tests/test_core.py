@@ -109,7 +109,8 @@ def test_drift_changes(spark):
             ("f3", [{"session_id": "a", "cwd": "/x", "threadId": 7, "git": {"branch": "main"}, "session": {"start": 1725272247000}}]),
         ],
     )
-    got = rows(drift.changes(df))
+    seen = drift.ingest(df)
+    got = rows(drift.changes(seen))
     assert got == sorted(
         [
             ("f1", "cwd", "renamed"), ("f1", "cwd", "retyped"), ("f1", "thread_id", "removed"), ("f2", "cwd", "renamed"), ("f2", "cwd", "retyped"), ("f2", "thread_id", "added"), ("f2", "git_branch", "added"),
@@ -117,9 +118,31 @@ def test_drift_changes(spark):
         ],
         key=repr,
     )
-    full = {r.file_name: r for r in drift.replay(df).collect()}
+    full = {r.file_name: r for r in drift.replay(seen).collect()}
     assert full["f1"].cwd == "/x" and full["f2"].git_branch == "main" and full["f2"].thread_id == "7" and full["f3"].session_started_at == "2024-09-02T10:17:27Z"
-    assert drift.changes(df.limit(0)).count() == 0
+    assert full["f2"].rescued == {"git_branch": '{"dirty":true}'} and full["f1"].rescued == {}
+    assert drift.changes(drift.ingest(df.limit(0))).count() == 0 and drift.replay(drift.ingest(df.limit(0))).count() == 0
+
+
+def test_drift_of_names_never_seen_before(spark):
+    a, b = {"session_id": "a", "cwd": "/home/x/one", "git_branch": "main"}, {"session_id": "b", "cwd": "/home/x/two", "git_branch": "dev"}
+    df = manifest_lines(
+        spark,
+        [
+            ("f0", [a, b]),
+            ("f1", [{"session_id": "a", "zz": ["home", "x", "one"], "head_ref": {"dirty": False, "v": "main"}, "log_dir": 3}, {"session_id": "b", "zz": ["home", "x", "two"], "head_ref": {"dirty": False, "v": "dev"}}]),
+            ("f2", [{"session_id": "a", "start_dir": "/home/x/one", "branch_of_work": 4}]), ("f3", [a | {"log_dir": "/tmp", "base_branch": "trunk"}, b | {"log_dir": "/tmp", "base_branch": "trunk"}]),
+        ],
+    ).withColumn("rescued", F.lit("clash"))
+    seen = drift.ingest(df)
+    assert rows(drift.approve(drift.propose(seen)).where("path NOT IN ('start_dir', 'branch_of_work')")) == [("cwd", "zz"), ("git_branch", "head_ref")]  # what stands beside the field is another one
+    got = rows(drift.changes(seen).where("field_name IN ('cwd', 'git_branch')"))
+    assert {x for x in got if x[0] == "f1"} == {("f1", f, k) for f in ("cwd", "git_branch") for k in ("renamed", "retyped")} and ("f2", "git_branch", "retyped") in got
+    table = {(r.file_name, r.line_no): r for r in drift.replay(seen).collect()}
+    one = min(k for k in table if k[0] == "f1")
+    assert table[one].cwd == "/home/x/one" and table[one].git_branch == "main" and table[one].rescued == {"head_ref": '{"dirty":false}', "log_dir": "3"}
+    none = spark.createDataFrame([], "field_name string, path string")
+    assert rows(drift.changes(seen, none).where("file_name = 'f1' AND field_name = 'cwd'")) == [("f1", "cwd", "removed")]  # what a reviewer does not approve stays rescued
 
 
 def test_chunk_plan_examples(transcript):
