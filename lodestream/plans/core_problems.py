@@ -15,6 +15,10 @@ def _ingested(spark, d):
 
 QUERIES = {
     "p6_found": lambda spark, d: nested.objects(table(spark, d, "transcripts")),
+    "p6_texts": lambda spark, d: nested.typed_nodes(table(spark, d, "transcripts"), "text"),
+    "p6_calls": lambda spark, d: nested.typed_nodes(table(spark, d, "transcripts"), "tool_use"),
+    "p6_results": lambda spark, d: nested.typed_nodes(table(spark, d, "transcripts"), "tool_result"),
+    "p6_items": lambda spark, d: nested.typed_nodes(table(spark, d, "transcripts"), None),
     "p7_found": lambda spark, d: drift.changes(_ingested(spark, d)),
     "p7_manifest": lambda spark, d: drift.replay(_ingested(spark, d)).withColumn("rescued", F.to_json("rescued")),
 }

@@ -56,8 +56,8 @@ def brute_objects(doc, path="", parent=""):
     return out
 
 
-def test_nested_labels_and_parents_match_recursion():
-    r = random.Random(3)
+def test_nested_labels_and_parents_match_recursion(transcript):
+    r, docs = random.Random(3), []
 
     def make(d):
         k = r.random()
@@ -69,8 +69,9 @@ def test_nested_labels_and_parents_match_recursion():
         doc = make(5)
         nodes = nested.label(doc)
         assert [n[0] for n in nodes] == list(range(len(nodes))) and sorted(n[1] for n in nodes) == list(range(len(nodes)))
-        got = [(n[5], p) for n, p in zip(nodes, nested.enclosing(nodes)) if n[3] == "object" and n[4]]
-        assert sorted(got) == sorted(brute_objects(doc))
+        docs.append(doc)
+    got = {(r.uuid, r.obj_path, r.parent_path) for r in nested.objects(transcript([{"msg_content": json.dumps(d)} for d in docs])).collect()}
+    assert got == {(f"u{i:03d}", p, q) for i, d in enumerate(docs) for p, q in brute_objects(d)}
 
 
 def test_nested_objects_edges(transcript):
@@ -92,6 +93,9 @@ def test_nested_objects_edges(transcript):
     nodes = nested.shred(df.where("uuid = 'r'"))
     linked = nested.contain(nodes.where("kind = 'object'"), nodes.where("kind = 'string'"))
     assert {r.ancestor_path for r in linked.collect()} == {"0", "0.content.0"}
+    assert rows(nested.typed_nodes(df, "text").select("uuid", "obj_path", "parent_pre", "parent_path", "fields").where("uuid = 'r'")) == [("r", "0.content.0", 1, "0", '{"type": "text", "text": "y"}')]
+    assert rows(nested.typed_nodes(df, None).select("uuid", "obj_path", "parent_path", "fields")) == [("c", "0.input.items.0", "0", '{"a": 1}')]
+    assert rows(nested.typed_nodes(df, "tool_result").select("uuid", "parent_pre")) == [("none", None), ("other", None), ("r", None)]
 
 
 def manifest_lines(spark, files_):
