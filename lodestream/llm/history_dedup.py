@@ -144,8 +144,8 @@ def same(a: list[str], b: list[str]) -> bool:
 
 def spread(stored: DataFrame, asked: DataFrame, all_words: DataFrame, hot: int = HOT) -> DataFrame:
     """Candidates (class, new_class) of stored (key, class, hint) and asked (key, new_class); hot keys are narrowed, then split."""
-    n = stored.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("key", F.lit(True).alias("_hot"))
-    s, q = stored.join(n, "key", "left"), asked.join(n, "key", "left")
+    n = stored.groupBy("key").agg(F.when(F.count("*") > hot, True).alias("_hot"))
+    s, q = stored.join(n, "key"), asked.join(n, "key")  # most probes end here
     s = s.select("key", "class", F.when(F.col("_hot"), F.col("hint")).otherwise("").alias("word"))
     words = all_words.select(F.col("class").alias("new_class"), F.array_append(F.array_distinct("all_words"), F.lit("")).alias("_words"))
     cool = q.where("_hot IS NULL").select("key", "new_class", F.lit("").alias("word"))
