@@ -3,13 +3,35 @@
 from __future__ import annotations
 
 import json
+import os
 import re
 from collections.abc import Iterator
 
+from pyspark import SparkFiles
+from pyspark.sql import SparkSession
+
 #: Default place of the public vocabulary; a parameter of every operator that uses it.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
+def ship_file(spark: SparkSession, path: str) -> str:
+    """Send a file of the driver's machine to all executors, once; tasks open it by ``local_file`` of the same path."""
+    sent = spark.sparkContext.__dict__.setdefault("_lodestream_files", set())
+    if path not in sent:
+        spark.sparkContext.addFile(path)
+        sent.add(path)
+    return path
+
+
+def local_file(path: str) -> str:
+    """Where a shipped file lies on this machine; the path itself outside of Spark."""
+    try:
+        there = SparkFiles.get(os.path.basename(path))
+    except Exception:  # no Spark in this process
+        return path
+    return there if os.path.exists(there) else path
+
+
 def texts(raw: str | None, inputs: bool = False) -> Iterator[tuple[str, str, bool]]:
     """(place, text, is_tool_result) of a content: the ``text`` and ``content`` strings at any depth.
 

@@ -1,9 +1,12 @@
 """Problem 1: personal data in free text, by candidate generation and gradient boosting.
 
-High-recall generators propose overlapping spans of five kinds, each with a vector of format and context features. Boosted trees,
-trained on Spark on ``TRAIN_TEXTS`` labelled texts that ``personal_training`` makes (the documented bound), score them; per kind a
+High-recall generators propose overlapping spans of five kinds, each with a vector of format and context features. A name is proposed by its form alone (two or three
+capitalised words, surname before a comma, capitals, initials), by a listed given name in any case, or in lower case after a word that announces one; whether its words are names is
+a matter of the features: how much commoner a public vocabulary spells them with a capital, listed given names, endings, what stands around, the column of a table.
+Boosted trees, trained on Spark on ``TRAIN_TEXTS`` labelled texts that ``personal_training`` makes (the documented bound), score the spans; per kind a
 threshold, calibrated on held-out texts, selects, and among overlapping spans the best score wins (mailboxes first: a name within one
-does not count). The directories of ``cwd`` have trees of their own, over what their words are and where they stand. ``redact`` replaces the selected spans by typed placeholders and leaves every other character.
+does not count). The directories of ``cwd`` have trees of their own, over what their words are and where they stand. The fitted trees are kept in the shared folder and loaded
+where they are. ``redact`` replaces the selected spans by typed placeholders and leaves every other character.
 
 Scale: one narrow pass over whole contents, no shuffle; only the trees are broadcast. Defined results: NULL and unreadable
 contents give no places (``redact`` treats unreadable ones as one text), tool inputs are not searched, kinds count once per string, repeated rows each count.
@@ -11,6 +14,10 @@ contents give no places (``redact`` treats unreadable ones as one text), tool in
 
 from __future__ import annotations
 
+import bisect
+import hashlib
+import json
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -19,11 +26,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from .blocks import VOCABULARY, readable, replace_spans, texts, unescaped
-from .credentials import dictionary
+from ..session import shared_root
+from .blocks import VOCABULARY, local_file, readable, replace_spans, ship_file, texts, unescaped
 
 KINDS = ("email", "phone", "id_number", "address", "person_name")
-TRAIN_TEXTS, HELD_OUT = 4_000, 2_000
+TRAIN_TEXTS, HELD_OUT = 5_000, 2_000
 #: Common given names of many countries, without accents (fixed values).
 GIVEN = (
     "adam adrian agnes ahmed aiko aisha akira alan albert alejandro alex alexander ali alice amelie amina amir ana anders andrea andrei anita anna anne antonio astrid beatriz "
@@ -46,7 +53,7 @@ _LETTER_ID = re.compile(r"(?:[XYZ]-?\d{7}-?[A-Z]|\d{8}-?[A-Z]|[A-Z]\d{3}(?:-\d{4
 _TAX = re.compile(r"(?<![\w\-.])\d{2} \d{3} \d{3} \d{3}(?![\w\-])")
 _ID_WORD = re.compile(
     r"(?i)(?:\bssn|social security|soc\. ?sec\.?|passport|reisepass|pasaporte|passeport|\bdni|\bnif|\bnie|tax id|steuer-?id|steuernummer|\btin\b|driv\w+'?s? licen[cs]e|licen[cs]e|führerschein|permis|national id\w*|personalausweis|identity)"
-    r"(?: ?(?:number|no\.?|nr\.?|num\.?|#|card))?[\"']?\s?[:=#]?\s?[\"']?(?P<v>[A-Z0-9](?:[A-Z0-9]|[ \-](?=[A-Z0-9]*\d)){5,15})(?!\w)"
+    r"(?: ?(?:number|no\.?|nr\.?|num\.?|#|card))?[\"']?\s?[:=#]?\s?[\"']?(?P<v>[A-Z0-9](?:[A-Z0-9]|[ \-](?=[A-Z0-9]*\d)){5,15}(?:-[A-Z])?)(?!\w)"
 )
 _TOWN = rf"{_L}[\w'\-]+(?:[ \-]{_L}[\w'\-]+){{0,2}}"
 _GAP = r"(?:,? ?\n?(?: *\d+\t)? *)"
@@ -62,20 +69,31 @@ _COMMA_INITIAL = re.compile(r", [A-ZÀ-Þ]\.")
 _AFTER_GIVEN = re.compile(rf"(?: [A-Za-zÀ-Þ]\.)?[ \n]+(?: *\d+\t)?((?:(?:von|van|de|di|al) )?{_L}{{3,}}(?:-{_L}+)?)")
 _BEFORE_GIVEN = re.compile(rf"(?<![\w.@/\-])({_L}{{3,}}(?:-{_L}+)?), ?$")
 
-#: Context words (fixed values); each group is one feature on the 40 characters before a span, two of them also after.
+#: Words that announce a person (fixed values).
+PERSON_CUE = r"(?:author|maintainer|owner|reviewer|reporter|assignee|approver|name|contact|contacto|cc|by|from|ask|tell|meet|thank|thanks|dear|hi|mr|ms|mrs|dr|prof|herr|frau|señora?|madame|monsieur|client|cliente|customer|employee|patient|tenant|member|user|colleague|applicant|belongs to|signed)"
+#: Context words (fixed values); each group is one feature on the 40 characters before a span.
 CONTEXT = [
     re.compile(x, re.IGNORECASE)
     for x in (
-        r"\b(?:tel|phone|call|mobile|pager|fax|reach|cell|handy|appel|rappel|telefon|ring|number for)\b",
-        r"\b(?:ssn|social|sec|passport|reisepass|dni|nif|nie|tax|steuer|tin|licen[cs]e|identity|kyc)\b",
-        r"\b(?:mail|e-mail|to|cc|from|contact|contacto|send|author|<mailto)\b",
-        r"\b(?:author|maintainer|owner|reviewer|reported|requested|by|belongs|applicant|name|ask|contacto|cc|mr|ms|mrs|dr|frau|herr|steht|client|and|user_lookup|values)\b",
-        r"\b(?:address|desk|ship|wohnhaft|lives|resident|street|board)\b",
-        r"\b(?:build|trace|job|version|port|line|commit|run|ticket|issue|request|id|at|took|n)\b",
-        r"\b(?:ssh|scp|git|clone|rsync|curl|psql|connect|dsn|pin|pg_dump)\b|://\S*$|@$",
+        r"\b(?:tel|tél|telefon\w*|teléfono|phone|call|dial|mobile|cell|fax|pager|handy|reach|ring|hotline|appel\w*|rappel\w*|llam\w*|number)\b",
+        r"\b(?:ssn|social|sec|passport|reisepass|pasaporte|passeport|dni|nif|nie|tax|steuer|tin|licen[cs]e|identity|national|personalausweis)\b",
+        r"\b(?:e-?mail|mail|mailto|to|cc|bcc|from|contact|contacto|send|write)\b",
+        rf"\b{PERSON_CUE}\b",
+        r"\b(?:address|adresse|dirección|ship|deliver\w*|lives?|resid\w+|street|office|home|visit)\b",
+        r"\b(?:build|trace|job|version|release|port|line|commit|run|ticket|issue|request|order|batch|id|at|took|n|in|error|warn|info|debug)\b",
+        r"\b(?:ssh|scp|git|clone|rsync|curl|psql|connect|dsn|pin|pg_dump|install)\b|://\S*$|@$",
+        r"\b(?:the|a|an|our|this|that|each|every|der|die|das|le|la|el)\s*$",
     )
 ]
-AFTER = [re.compile(r"^\W{0,3}(?:queue|gateway|router|planner|scheduler|service|server|cluster|loop|of the)\b", re.IGNORECASE), re.compile(r"^:[\w/~]|^:\d+/"), re.compile(r"^[;,|\t'\"<(]| said\b")]
+AFTER = [
+    re.compile(r"^:[\w/~]|^:\d+/"), re.compile(r"^[;,|\t'\"<(]"), re.compile(r"^ ?(?:said|says|wrote|asked|asks|approved|reported|requested|mentioned|thinks|confirmed|signed|joined|called)\b"),
+    re.compile(r"^ [A-ZÀ-Þ][a-zß-ÿ]"), re.compile(r"^,? ?\d"), re.compile(r"^[^.\n]{0,16}\b(?:number|phone|mobile|cell|line)\b"),
+]
+#: Words of a table's header that say what a column holds, in the order of KINDS (fixed values).
+COLUMNS = [
+    re.compile(x, re.IGNORECASE)
+    for x in (r"mail", r"phone|mobile|tel|cell|fax", r"ssn|passport|reisepass|\bdni|\bnif|\bnie|tax|licen[cs]e|national|identity", r"address|street|adresse|location", r"name|user|owner|contact|person|customer|client|employee|author")
+]
 
 
 def shape(s: str) -> str:
@@ -99,9 +117,31 @@ def given_names():
     return a
 
 
-def names_in(text: str, folded: str) -> Iterator[tuple[int, int, str]]:
-    """Given name with a surname before or after it, in any order and case; and initials with a surname."""
+_CAP = rf"[A-ZÀ-Þ](?:{_L}|['’](?=[A-ZÀ-Þ]))*[a-zß-ÿ]{_L}*(?:-[A-ZÀ-Þ]{_L}+)?"
+_JOIN = r"(?: |\n *(?:\d+\t *)?)(?:(?:von|van|der|den|de|del|di|da|dos|al|el|bin|la|le) ){0,2}"
+_RUN = re.compile(rf"(?<![\w.@/\\\-'’])(?:{_CAP}|[A-ZÀ-Þ]\.)(?:{_JOIN}(?:{_CAP}|[A-ZÀ-Þ]\.(?= )))+(?![\w@(/\\]|[.\-]\w)")
+_RUN_WORD = re.compile(rf"{_CAP}|[A-ZÀ-Þ]\.")
+_COMMA = re.compile(rf"(?<![\w.@/\\\-'’])({_CAP}|[A-ZÀ-Þ]{{3,}}), ({_CAP}|[A-ZÀ-Þ]{{3,}})(?: [A-ZÀ-Þ]\.)?(?![\w@(/\\])")
+_CAPITALS = re.compile(r"(?<![\w.@/\\\-'’])[A-ZÀ-Þ]{3,}(?:-[A-ZÀ-Þ]+)?(?: [A-ZÀ-Þ]\.)? [A-ZÀ-Þ]{3,}(?:-[A-ZÀ-Þ]+)?(?![\w@(/\\=:])")
+_ANNOUNCED = re.compile(rf"(?i:\b{PERSON_CUE}\b)[\"']?\s?[:=]?\s?[\"'(<]?({_L}{{3,}})(, | )({_L}{{3,}})(?![\w@(/\\.=])")
+
+
+def names_in(text: str, folded: str, spelt: dict[str, tuple[float, float]]) -> Iterator[tuple[int, int, str]]:
+    """Names by form, by a listed given name with a word before or after it in any case, by initials, and in lower case after a word that announces one."""
     n = len(text)
+    for run in _RUN.finditer(text):
+        ws = [(m.start() + run.start(), m.end() + run.start()) for m in _RUN_WORD.finditer(run[0])]
+        for i in range(len(ws) - 1):
+            for j in (i + 1, i + 2):
+                if j < len(ws) and ws[i][1] - ws[i][0] > 2 and ws[j][1] - ws[j][0] > 2:
+                    yield ws[i][0], ws[j][1], "pair"
+    for rx, how in ((_COMMA, "comma"), (_CAPITALS, "capitals")):
+        for m in rx.finditer(text):
+            yield m.start(), m.end(), how
+    for m in _ANNOUNCED.finditer(text):
+        rare = [spelt.get(w.lower().translate(FOLD), (17.0, 17.0)) for w in (m[1], m[3])]
+        if m[1].islower() and m[3].islower() and all(lower >= title or lower > 15 for lower, title in rare):
+            yield m.start(1), m.end(3), "announced"
     for end, name in given_names().iter(folded):
         s, e = end - len(name) + 1, end + 1
         if (s and (folded[s - 1].isalnum() or folded[s - 1] in "_@")) or (e < n and (folded[e].isalnum() or folded[e] == "_")):
@@ -112,7 +152,7 @@ def names_in(text: str, folded: str) -> Iterator[tuple[int, int, str]]:
         if (b := _BEFORE_GIVEN.search(text, max(0, s - 40), s)) and not (s and text[s - 1] == "\n"):
             last = re.match(r" [A-ZÀ-Þ]\.", text[e : e + 3])
             yield b.start(1), e + (last.end() if last else 0), "before"
-    if ". " in text or "." in text:
+    if "." in text:
         for m in _INITIAL.finditer(text):
             if not m.start() or not (text[m.start() - 1].isalnum() or text[m.start() - 1] in "_."):
                 yield m.start(), m.end(), "initial"
@@ -131,7 +171,7 @@ def _around(rx: re.Pattern, text: str, at: int, left: int, right: int) -> re.Mat
     return None
 
 
-def candidates(text: str) -> list[tuple[int, int, str, str]]:
+def candidates(text: str, spelt: dict[str, tuple[float, float]]) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, generator) of all proposals; they may overlap. Cheap marks are sought first, the forms only near them."""
     out: list[tuple[int, int, str, str]] = []
     at = text.find("@")
@@ -140,7 +180,7 @@ def candidates(text: str) -> list[tuple[int, int, str, str]]:
             out.append((m.start(), m.end(), "email", "plain"))
         at = text.find("@", max(at + 1, m.end() if m else 0))
     low = text.lower()
-    if any(x in low for x in _AT_WORDS):
+    if any(x in low for x in _AT_WORDS) or " at " in low and _AT_DOT.search(low):
         for mark in _AT_MARK.finditer(text):
             if m := _around(_MAIL_WORDS, text, mark.start(), 80, 160):
                 out.append((m.start(), m.end(), "email", "words"))
@@ -163,11 +203,12 @@ def candidates(text: str) -> list[tuple[int, int, str, str]]:
     for rx, g, marks in _ADDRESS:
         if any(x in text for x in marks):
             out += [(m.start(), m.end(), "address", g) for m in rx.finditer(text)]
-    out += [(s, e, "person_name", g) for s, e, g in names_in(text, low.translate(FOLD))]
+    out += [(s, e, "person_name", g) for s, e, g in names_in(text, low.translate(FOLD), spelt)]
     return out
 
 
 _AT_WORDS = ("(at)", "[at]", "{at}", "<at>", "( at )", "[ at ]", " dot ", "＠")
+_AT_DOT = re.compile(r" at [\w\-]+ ?(?:\.|[\[({<] ?dot)")
 _AT_MARK = re.compile(r"(?i)[\[({<] ?at ?[\])}>]|\bat\b|＠")
 _IN_URL = re.compile(r"://[^\s/@]*$")
 _NUMBERS = re.compile(r"[+(\d][\d().\-/ ]{7,}")
@@ -180,31 +221,72 @@ _ADDRESS = (
     (_STRASSE, "strasse", ("straße ", "strasse ", "str. ", "weg ", "gasse ", "allee ", "platz ", "ring ", "ufer ")),
     (_CALLE, "calle", ("Calle ", "Avenida ", "Avda. ", "Plaza ", "Paseo ", "C/ ", "Via ", "Viale ")),
 )
-#: A header of a table that names such a column.
-_HEAD = re.compile(r"(?:^|\n|\t)[^\n]*[\t,;|] ?\"?(?:ssn|passport|reisepass|dni|nif|nie|tax_?id|licen[cs]e\w*)\b|(?:ssn|passport|dni|nif)[\t,;|]")
-GENERATORS = ("plain", "words", "digits", "ssn", "letter", "tax", "word", "street", "rue", "strasse", "calle", "after", "before", "initial")
-N_FEATURES = len(KINDS) + len(GENERATORS) + len(CONTEXT) + len(AFTER) + 16
-
-
-def features(text: str, c: tuple[int, int, str, str], words: dict[str, float]) -> list[float]:
+GENERATORS = ("plain", "words", "digits", "ssn", "letter", "tax", "word", "street", "rue", "strasse", "calle", "after", "before", "initial", "pair", "comma", "capitals", "announced")
+N_FEATURES = len(KINDS) + len(GENERATORS) + len(CONTEXT) + len(AFTER) + len(COLUMNS) + 28
+_VIEWER = re.compile(r"^ *\d+\t")
+_CELL_NAME = re.compile(r"[\s\"']*[A-Za-z_][A-Za-z_ ]*[\"'\s]*")
+
+
+class Tables:
+    """For each line of a text the header of the table it is in: the nearest line above, in a run of lines of as many cells, whose cells are all names."""
+
+    def __init__(self, text: str) -> None:
+        self.starts, self.heads, at = [], [], 0
+        now: dict[str, list[str] | None] = {}
+        for line in text.split("\n"):
+            body = _VIEWER.sub("", line)
+            found: tuple[str, list[str], int] | None = None
+            for d in "\t;,|":
+                if d not in body:
+                    now[d] = None
+                    continue
+                cells = body.split(d)
+                if all(_CELL_NAME.fullmatch(c) for c in cells if c) and any(c.strip() for c in cells):
+                    now[d] = cells
+                elif (head := now.get(d)) and len(head) == len(cells):
+                    found = found or (d, head, len(line) - len(body))
+                else:
+                    now[d] = None
+            self.starts.append(at)
+            self.heads.append(found)
+            at += len(line) + 1
+
+    def column(self, text: str, at: int) -> str:
+        """The name of the column that holds a position, or ''."""
+        i = bisect.bisect_right(self.starts, at) - 1
+        if not (found := self.heads[i]):
+            return ""
+        d, head, skip = found
+        return head[min(len(head) - 1, text.count(d, self.starts[i] + skip, at))]
+
+
+def features(text: str, c: tuple[int, int, str, str], spelt: dict[str, tuple[float, float]], tables: Tables) -> list[float]:
     """Format and context of a candidate."""
     s, e, kind, gen = c
     span, before, after = text[s:e], text[max(0, s - 40) : s], text[e : e + 24]
     near = re.split(r"[.!?]\s|\n", before)[-1]
-    letters = [w for w in re.findall(rf"{_L}{{3,}}", span)]
-    folded = [w.lower().translate(FOLD) for w in letters]
+    letters = re.findall(rf"{_L}{{2,}}", span)
+    folded = [w.lower().translate(FOLD) for w in letters] or [""]
     given = [w in _GIVEN for w in folded]
     other = [w for w, g in zip(folded, given) if not g] or folded[-1:]
     digits = sum(x.isdigit() for x in span)
-    header = text[max(0, s - 2500) : s].lower() if kind == "id_number" and gen in ("letter", "ssn") else ""
     cases = {("u" if w.isupper() else "l" if w.islower() else "t") for w in letters}
+    column = tables.column(text, s)
+    name = kind == "person_name"
+    ranks = [spelt.get(w, (17.0, 17.0)) for w in (folded if name else [])] or [(17.0, 17.0)]
+    lean = [a - b for a, b in ranks]
+    up = re.search(r"([A-ZÀ-Þ][^\W\d_]*)[\w'\-]* $", before)  # a word with a capital before it: part of the name, or only the first of the sentence
+    up_lean = -np.subtract(*spelt.get(up[1].lower().translate(FOLD), (17.0, 17.0))) if up else 0.0
     return [
         *[float(kind == k) for k in KINDS], *[float(gen == g) for g in GENERATORS], *[float(bool(r.search(near))) for r in CONTEXT], *[float(bool(r.search(after))) for r in AFTER],
+        *[float(bool(column) and bool(r.search(column))) for r in COLUMNS],
         float(len(span)), float(digits), float(span.startswith("+")), float("(" in span), float(bool(PHONE_SHAPE.match(shape(span)))),
-        float(sum(given)), float(bool(other) and bool(SURNAME_END.search(other[-1]))), float(bool(other) and all(w in words for w in other)), float(len(cases)), float("l" in cases and len(cases) == 1),
+        float(sum(given)), float(bool(SURNAME_END.search(other[-1]))), float(len(letters)), float(len(cases)), float("l" in cases and len(cases) == 1), float("u" in cases and len(cases) == 1),
         float(bool(re.match(r"(?i)(?:git|deploy|root|app|svc|admin|ubuntu|ec2-user)@", span))), float(bool(re.search(r"[A-Za-z]", after[:1])) or bool(re.search(r"[\w/]$", before))),
         float(kind == "address" and bool(re.search(r"[A-ZÀ-Þ][\w\-]+(?: \d{4,5})?$", span)) and len(letters) >= 3), float(kind == "email" and bool(re.search(r"\.(?:py|ts|js|go|rs|sql|md|sh|json|yaml|toml)$", span))),
-        float(bool(header) and bool(_HEAD.search(header))), float(bool(re.search(r"[\t;,|] ?$", before))),
+        float(bool(re.search(r"[\t;,|] ?$", before))), float(bool(re.search(r"[\"'(<=:] ?$", before))), float(bool(re.search(r"(?:^|[.!?:]\s|\n)$", before)) or s == 0),
+        float(bool(up)), up_lean, float(bool(re.search(r"\d[a-z]?,? $", before))),
+        lean[0], lean[-1], min(lean), ranks[0][0], ranks[-1][0], min(r[0] for r in ranks), float(sum(a == b == 17.0 for a, b in ranks)),
     ]
 
 
@@ -217,6 +299,17 @@ class Trees:
     def __init__(self, trees: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]], weights: list[float], thresholds: dict[str, float]) -> None:
         self.trees, self.weights, self.thresholds = trees, weights, thresholds
 
+    def to_json(self) -> dict:
+        return {"trees": [[a.tolist() for a in t] for t in self.trees], "weights": self.weights, "thresholds": self.thresholds}
+
+    @classmethod
+    def from_json(cls, d: dict) -> Trees:
+        kinds = (np.int64, np.float64, np.int64, np.int64, np.float64)
+        return cls([tuple(np.array(a, k) for a, k in zip(t, kinds)) for t in d["trees"]], d["weights"], d["thresholds"])
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "model"}
+
     def score(self, x: np.ndarray) -> np.ndarray:
         total = np.zeros(len(x))
         for (feature, cut, left, right, value), weight in zip(self.trees, self.weights):
@@ -256,42 +349,74 @@ def labelled(n: int, seed: int, vocabulary: str) -> tuple[np.ndarray, np.ndarray
     """Candidates of ``n`` made texts: features, whether they cover a planted span of their kind, kinds."""
     from .personal_training import make
 
-    words = dictionary(vocabulary)
+    spelt = spellings(vocabulary)
     x, y, kinds = [], [], []
-    for text, spans in make(n, seed):
-        for c in candidates(text):
-            x.append(features(text, c, words))
+    for text, spans in make(n, seed, plain_words(spelt)):
+        tables = Tables(text)
+        for c in candidates(text, spelt):
+            x.append(features(text, c, spelt, tables))
             y.append(float(any(k == c[2] and min(e, c[1]) - max(s, c[0]) >= 0.8 * (max(e, c[1]) - min(s, c[0])) for s, e, k in spans)))
             kinds.append(c[2])
     return np.array(x), np.array(y), kinds
 
 
-def train(spark: SparkSession, vocabulary: str = VOCABULARY, n: int = TRAIN_TEXTS) -> Trees:
-    """Boosted trees by Spark's GBTClassifier on a bounded sample, and thresholds of the best F1 on held-out texts."""
+def plain_words(spelt: dict[str, tuple[float, float]]) -> list[str]:
+    """Words that the vocabulary spells more commonly in lower case: the made look-alikes are put together from them."""
+    return sorted(w for w, (a, b) in spelt.items() if len(w) >= 3 and w.isascii() and a < b)
+
+
+def _fit(spark: SparkSession, x: np.ndarray, y: np.ndarray) -> Trees:
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.linalg import Vectors
 
-    x, y, _ = labelled(n, 1, vocabulary)
-    data = spark.createDataFrame([(Vectors.dense(a), float(b)) for a, b in zip(x, y)], ["features", "label"])
-    data = data.coalesce(2).cache()
-    model = GBTClassifier(maxIter=14, maxDepth=4, stepSize=0.3, seed=7, maxBins=32).fit(data)
+    data = spark.createDataFrame([(Vectors.dense(a), float(b)) for a, b in zip(x, y)], ["features", "label"]).coalesce(2).cache()
+    model = GBTClassifier(maxIter=20, maxDepth=5, stepSize=0.3, seed=7, maxBins=32).fit(data)
     data.unpersist()
-    trees, weights = _unpack(model)
-    out = Trees(trees, weights, {})
+    out = Trees(*_unpack(model), {})
+    out.model = model
+    return out
+
+
+def train(spark: SparkSession, vocabulary: str = VOCABULARY, n: int = TRAIN_TEXTS) -> Trees:
+    """Boosted trees by Spark's GBTClassifier on a bounded sample, and per kind the lowest threshold whose F1 on held-out texts is the best but for 0.002."""
+    x, y, _ = labelled(n, 1, vocabulary)
+    out = _fit(spark, x, y)
     hx, hy, hk = labelled(HELD_OUT, 2, vocabulary)
     p, hk = out.score(hx), np.array(hk)
     for k in KINDS:
         m = hk == k
-        best = (-1.0, 0.5)
+        f1 = {}
         for cut in np.arange(0.2, 0.81, 0.05):
             tp = float(((p >= cut) & (hy > 0) & m).sum())
-            f1 = 2 * tp / max(1.0, float(((p >= cut) & m).sum() + ((hy > 0) & m).sum()))
-            best = max(best, (round(f1, 4), -abs(cut - 0.5)), key=lambda b: b[:2])
-            if best == (round(f1, 4), -abs(cut - 0.5)):
-                out.thresholds[k] = float(cut)
+            f1[float(cut)] = 2 * tp / max(1.0, float(((p >= cut) & m).sum() + ((hy > 0) & m).sum()))
+        out.thresholds[k] = min(c for c in f1 if f1[c] >= max(f1.values()) - 0.002)  # of equals the one that misses least
     return out
 
 
+_FITTED: dict[str, tuple[Trees, Trees]] = {}
+
+
+def fitted(spark: SparkSession, vocabulary: str = VOCABULARY, n: int = TRAIN_TEXTS, root: str | None = None) -> tuple[Trees, Trees]:
+    """The trees for texts and for directories: from memory, else from the shared folder (or ``root``), else trained and written there.
+
+    The name of the saved model is a digest of this code, the vocabulary and ``n``, so that another version never loads it.
+    """
+    here = os.path.dirname(os.path.abspath(__file__))
+    parts = [open(f, "rb").read() for f in (os.path.join(here, "personal.py"), os.path.join(here, "personal_training.py"), vocabulary)]
+    key = hashlib.sha256(b"\0".join([*parts, str(n).encode()])).hexdigest()[:24]
+    if key not in _FITTED:
+        path = f"{root or shared_root(spark)}/personal-trees-{key}"
+        jvm = spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+            saved = [json.loads(r[0]) for r in spark.read.text(path).collect()]  # two rows
+            _FITTED[key] = tuple(Trees.from_json(t) for t in sorted(saved, key=lambda t: "cwd" in t["thresholds"]))
+        else:
+            _FITTED[key] = train(spark, vocabulary, n), train_paths(spark, vocabulary, n)
+            spark.createDataFrame([(json.dumps(t.to_json()),) for t in _FITTED[key]], "value string").coalesce(1).write.mode("overwrite").text(path)
+    return _FITTED[key]
+
+
 def select(spans: list[tuple[int, int, str]], scores: np.ndarray) -> list[tuple[int, int, str]]:
     """Spans without overlap: mailboxes first, then by score and length."""
     order = sorted(range(len(spans)), key=lambda i: (spans[i][2] != "email", spans[i][2] == "person_name", -round(float(scores[i]), 2), spans[i][0] - spans[i][1]))
@@ -317,7 +442,7 @@ def spellings(path: str) -> dict[str, tuple[float, float]]:
     import base64
 
     out: dict[str, list[float]] = {}
-    with open(path, "rb") as f:
+    with open(local_file(path), "rb") as f:
         for n, line in enumerate(f):
             token = base64.b64decode(line.split()[0]).decode("utf-8", "replace")
             w = token.strip()
@@ -366,23 +491,17 @@ def path_features(c: tuple, words: dict[str, tuple[float, float]]) -> list[float
 
 def train_paths(spark: SparkSession, vocabulary: str = VOCABULARY, n: int = TRAIN_TEXTS) -> Trees:
     """Boosted trees for the directories of ``cwd``, and the threshold of the best F1 on held-out paths."""
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.linalg import Vectors
-
     from .personal_training import make_paths
 
     words = spellings(vocabulary)
-    plain = sorted(w for w, (a, b) in words.items() if len(w) >= 3 and w.isascii() and a < b)
+    plain = plain_words(words)
 
     def sample(k: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
         got = [(path_features(c, words), float((c[0], c[1]) == span)) for path, span in make_paths(k, seed, plain) for c in path_candidates(path) if c[2] == "person_name"]
         return np.array([a for a, _ in got]), np.array([b for _, b in got])
 
     x, y = sample(n, 1)
-    data = spark.createDataFrame([(Vectors.dense(a), float(b)) for a, b in zip(x, y)], ["features", "label"]).coalesce(2).cache()
-    model = GBTClassifier(maxIter=14, maxDepth=4, stepSize=0.3, seed=7, maxBins=32).fit(data)
-    data.unpersist()
-    out = Trees(*_unpack(model), {})
+    out = _fit(spark, x, y)
     hx, hy = sample(HELD_OUT, 2)
     p = out.score(hx)
     f1 = lambda cut: 2 * float(hy[p >= cut].sum()) / float((p >= cut).sum() + hy.sum())
@@ -412,15 +531,17 @@ class Selector:
     """Finds the selected spans of many texts at once; made once per task."""
 
     def __init__(self, trees: Trees, vocabulary: str) -> None:
-        self.trees, self.words = trees, dictionary(vocabulary)
+        self.trees, self.spelt = trees, spellings(vocabulary)
 
     def __call__(self, batch: list[str]) -> list[list[tuple[int, int, str]]]:
         owner, cands, x = [], [], []
         for i, text in enumerate(batch):
-            for c in candidates(text):
+            mine = dict.fromkeys(candidates(text, self.spelt))
+            tables = Tables(text) if mine else None
+            for c in mine:
                 owner.append(i)
                 cands.append(c)
-                x.append(features(text, c, self.words))
+                x.append(features(text, c, self.spelt, tables))
         out: list[list[tuple[int, int, str]]] = [[] for _ in batch]
         if not cands:
             return out
@@ -438,7 +559,8 @@ class Selector:
 def found(records: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """p1_found: (rec_id, place, kind), once per string and kind."""
     spark = records.sparkSession
-    trees = spark.sparkContext.broadcast((train(spark, vocabulary), train_paths(spark, vocabulary)))
+    vocabulary = ship_file(spark, vocabulary)
+    trees = spark.sparkContext.broadcast(fitted(spark, vocabulary))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         select_spans, select_dirs = Selector(trees.value[0], vocabulary), PathSelector(trees.value[1], vocabulary)
@@ -460,7 +582,8 @@ def found(records: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 def redact(records: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(rec_id, n_spans, cwd, msg_content) of all rows, each selected span as ``[EMAIL]``, ``[PHONE]``, ``[ID_NUMBER]``, ``[ADDRESS]`` or ``[PERSON_NAME]``."""
     spark = records.sparkSession
-    trees = spark.sparkContext.broadcast((train(spark, vocabulary), train_paths(spark, vocabulary)))
+    vocabulary = ship_file(spark, vocabulary)
+    trees = spark.sparkContext.broadcast(fitted(spark, vocabulary))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         select_spans, select_dirs = Selector(trees.value[0], vocabulary), PathSelector(trees.value[1], vocabulary)

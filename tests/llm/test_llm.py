@@ -32,7 +32,7 @@ def result(s, tool="t1"):
 
 @pytest.fixture(scope="module")
 def trees(spark):
-    return personal.train(spark, n=1_500)
+    return personal.train(spark, n=3_000)
 
 
 def test_personal_held_out(trees):
@@ -47,17 +47,61 @@ def test_personal_held_out(trees):
 
 def test_personal_generators_have_high_recall():
     seen = missed = 0
-    for t, spans in make(800, 5):
-        c = personal.candidates(t)
+    spelt = personal.spellings(blocks.VOCABULARY)
+    for t, spans in make(800, 5, personal.plain_words(spelt)):
+        c = personal.candidates(t, spelt)
         for s, e, k in spans:
             seen += 1
             missed += not any(k == q[2] and min(e, q[1]) - max(s, q[0]) >= 0.8 * (max(e, q[1]) - min(s, q[0])) for q in c)
     assert missed / seen < 0.02
 
 
-def test_personal_trees_equal_the_spark_model(trees):
-    x = np.zeros((3, personal.N_FEATURES))
-    assert trees.score(x).shape == (3,) and len(set(trees.score(x))) == 1 and personal.labelled(5, 1, blocks.VOCABULARY)[0].shape[1] == personal.N_FEATURES
+#: Names of which no part is in a list of the library (checked below).
+UNLISTED = (
+    "Jennifer Lockwood|Tomasz Kowalczyk|Barbara Fitzgerald|Xavier Dupont|Ludmila Petrenko|Kimberly Watson|Esteban Quintana|Sunita Deshmukh|Tadeusz Nowicki|Gwendolyn Pryce|Olumide Adeyemi|Beatrix Hofstadter|"
+    "Callum MacLeod|Yevgenia Orlova|Thaddeus Blackwood|Ngozi Eze|Rasmus Kjeldsen|Shanice Campbell|Fumiko Yamamoto|Guillermo Cabrera|Deborah Goldstein|Aoife Gallagher|Bob Miller|Brittany Chambers|Viktor Lindholm|"
+    "Zeynep Arslan|Mandla Khumalo|Roderick Thornton|Terrence Whitfield|Nadine Bouchard|Ashok Venkataraman|Philippa Wetherby|Dagmar Holzmann|Keanu Reeves|Marguerite Lefebvre|Siobhan Kavanagh|Ignacio Fuentes|Leticia Barbosa"
+).split("|")
+THINGS = "Visual Studio|Error Handler|Event Loop|San Francisco|Data Pipeline|Token Service|Unit Tests|Release Notes|Load Balancer|Null Pointer|Docker Compose|Getting Started|Feature Flag|Main Thread".split("|")
+
+
+def test_names_outside_every_list_are_found(trees):
+    from lodestream.llm import personal_training
+
+    listed = {*personal.GIVEN, *personal_training._FIRSTS, *personal_training._SURNAMES}
+    assert not any(w.lower() in listed for n in UNLISTED for w in n.split())
+    select = personal.Selector(trees, blocks.VOCABULARY)
+    frames = ["The report was written by {} yesterday.", "{} approved the change.", "I met {} at the office.", "please loop in {} tomorrow", "owner: {}"]
+    forms = [lambda a, b: f"{a} {b}", lambda a, b: f"{b}, {a}", lambda a, b: f"{a[0]}. {b}"]
+    cases = [(f.format(n), n) for full in UNLISTED for f in frames for n in (form(*full.split()) for form in forms)]
+    found = [any(k == "person_name" and s <= t.index(n) and e >= t.index(n) + len(n) for s, e, k in spans) for (t, n), spans in zip(cases, select([t for t, _ in cases]))]
+    assert sum(found) / len(found) >= 0.9
+    wrong = [any(k == "person_name" for _, _, k in spans) for spans in select([f.format(t) for t in THINGS for f in ("The {} is slow.", "We restarted the {}.", "# {}")])]
+    assert sum(wrong) / len(wrong) <= 0.05
+
+
+def test_personal_trees_equal_the_spark_model_and_are_kept(trees, spark, tmp_path):
+    from pyspark.ml.linalg import Vectors
+
+    x, _, _ = personal.labelled(60, 3, blocks.VOCABULARY)
+    theirs = [r.probability[1] for r in trees.model.transform(spark.createDataFrame([(Vectors.dense(a),) for a in x], ["features"])).collect()]
+    assert x.shape[1] == personal.N_FEATURES and np.allclose(trees.score(x), theirs)
+    again = personal.Trees.from_json(json.loads(json.dumps(trees.to_json())))
+    assert np.array_equal(again.score(x), trees.score(x)) and again.thresholds == trees.thresholds
+    personal._FITTED.clear()
+    first = personal.fitted(spark, n=300, root=str(tmp_path))
+    personal._FITTED.clear()
+    began = {p: p.stat().st_mtime_ns for p in tmp_path.rglob("*")}
+    loaded = personal.fitted(spark, n=300, root=str(tmp_path))
+    assert np.array_equal(first[0].score(x), loaded[0].score(x)) and loaded[1].thresholds == first[1].thresholds and began == {p: p.stat().st_mtime_ns for p in tmp_path.rglob("*")}
+    personal._FITTED.clear()
+
+
+def test_rows_far_below_a_header_keep_its_columns():
+    t = "notes; none\nowner;phone;passport\n" + "".join(f"{i};x{i};y{i}\n" for i in range(5_000)) + "a,b\n"
+    tables = personal.Tables(t)
+    at = t.index("4999;x4999")
+    assert [tables.column(t, at + k) for k in (0, 5, 11)] == ["owner", "phone", "passport"] and tables.column(t, len(t) - 3) == "" and personal.Tables("").column("", 0) == ""
 
 
 def test_cut_off_contents_are_redacted(transcript):
