@@ -58,14 +58,6 @@ def texts(raw: str | None, inputs: bool = False) -> Iterator[tuple[str, str, boo
         stack.extend(reversed(children))
 
 
-def replace_raw(raw: str, found: dict[str, str]) -> str:
-    """Replace texts inside the raw JSON, in whichever escaping it spells them; all other characters stay."""
-    for text in sorted(found, key=len, reverse=True):
-        for spelt in dict.fromkeys((json.dumps(text, ensure_ascii=False)[1:-1], json.dumps(text)[1:-1])):
-            raw = raw.replace(spelt, found[text])
-    return raw
-
-
 _LITERAL = re.compile(r'"(?:[^"\\]|\\.)*"', re.DOTALL)
 _UNIT = re.compile(r"\\u[0-9a-fA-F]{4}|\\.|.", re.DOTALL)
 

@@ -7,7 +7,8 @@ Whether a name is that of a credential is decided on its words too, found by the
 ``secretName`` or ``passwordPolicy`` are none. Private keys are found by their armour and body.
 
 Scale: one narrow pass, no shuffle; each text is read whole, line by line. Defined results: NULL contents give nothing,
-unreadable JSON has no places (``redact`` treats it as one text), a line is reported once, repeated rows each count.
+unreadable JSON has no places (``redact`` treats it as one text), a line is reported once, repeated rows each count. Redaction is by position: the same
+characters elsewhere, inside a longer word or outside of tool results, stay.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .blocks import VOCABULARY, replace_raw, texts
+from .blocks import VOCABULARY, local_file, readable, replace_spans, ship_file, texts, unescaped
 
 #: Words of names of credentials (fixed values): alone, or only together with one of QUALIFIER before a final ``key``.
 STRONG = frozenset("password passwd passphrase pwd pw pass secret token apikey bearer auth authorization credential credentials passcode authtoken pat jwt dsn pem".split())
@@ -67,7 +68,7 @@ PASSWORDS = frozenset("password passwd passphrase pwd pw pass passcode".split())
 def dictionary(path: str = VOCABULARY) -> dict[str, float]:
     """Lower-case words of four letters or more of a ranked vocabulary, with costs that rise with the rank."""
     out: dict[str, float] = {}
-    with open(path, "rb") as f:
+    with open(local_file(path), "rb") as f:
         for n, line in enumerate(f):
             w = base64.b64decode(line.split()[0]).decode("utf-8", "replace").strip().lower()
             if len(w) >= 4 and w.isascii() and w.isalpha():
@@ -150,24 +151,25 @@ class Finder:
             return False
         return context == "password" or rest >= 0.35 * len(v)
 
-    def line(self, text: str, before: str) -> list[str]:
-        """Secrets that start on a line; ``before`` is the line above it."""
-        out = [m["v"] for m in URL.finditer(text) if self.url(m["v"])]
+    def line(self, text: str, before: str) -> list[tuple[int, int]]:
+        """Places (start, end) of the secrets that start on a line, in the order they are found; ``before`` is the line above it."""
+        out = [m.span("v") for m in URL.finditer(text) if self.url(m["v"])]
         for m in FLAG.finditer(text):
-            v = m["v"] or m["w"]
-            if v and self.secret(v, "password", True):
-                out.append(v)
+            g = "v" if m["v"] else "w"
+            if m[g] and self.secret(m[g], "password", True):
+                out.append(m.span(g))
         for m in HEADER.finditer(text):
             if self.secret(m["v"], "other", True) and re.search(r"(?i)auth|bearer|basic|header|-H|curl|key", text[: m.end()]):
-                out.append(m["v"])
-        out += [m["v"] for m in CALL.finditer(text) if self.secret(m["v"], "password", True)]
+                out.append(m.span("v"))
+        out += [m.span("v") for m in CALL.finditer(text) if self.secret(m["v"], "password", True)]
         at = 0
         while m := ASSIGN.search(text, at):
             name, op = m["name"].lstrip("-"), m["op"]
             at = m.end("name") if self.context(name) is None else m.end()
             if at == m.start():
                 at += 1
-            value, quoted = (m["quoted"], True) if m["quote"] else (m["bare"], False)
+            g, quoted = ("quoted", True) if m["quote"] else ("bare", False)
+            value = m[g]
             if op in ("==", "!=") or not value:
                 continue
             context = self.context(name)
@@ -182,78 +184,99 @@ class Finder:
             if "://" in value or value.startswith("-----BEGIN"):
                 continue
             if self.secret(value, context, quoted):
-                out.append(value)
-        return out
+                out.append((m.end(g) - len(value), m.end(g)))
+        return list(dict.fromkeys(out))
 
     def url(self, v: str) -> bool:
         return len(v) >= 4 and not (MASKED.search(v) or STAND_INS.search(v) or REFERENCE.match(v) or re.match(r"^[{%$<]", v)) and viterbi(v, self.words)[1] >= 2
 
     def find(self, text: str) -> list[tuple[int, str]]:
-        """(line, secret) of a text, lines from 1; a private key is its whole armoured block.
+        """(line, secret) of a text, lines from 1."""
+        return [(no, text[a:b]) for no, a, b in self.spans(text)]
+
+    def spans(self, text: str) -> list[tuple[int, int, int]]:
+        """(line, start, end) of the secrets of a text, lines from 1; a private key is its whole armoured block.
 
         A literal joined from several lines gives each of its parts, under the line on which it starts.
         """
-        out: list[tuple[int, str]] = []
+        out: list[tuple[int, int, int]] = []
         if not TRIGGER.search(text):
             return out
         blocks = []
         for m in PRIVATE_ALL.finditer(text):
             body = re.sub(r"\\n|-----[^-]*-----|[^A-Za-z0-9+/=]", "", m[0])
             if len(body) >= 40 and not MASKED.search(m[0]):
-                out.append((text.count("\n", 0, m.start()) + 1, m[0]))
+                out.append((text.count("\n", 0, m.start()) + 1, m.start(), m.end()))
                 blocks.append((m.start(), m.end()))
         at, before, open_no = 0, "", 0
         for no, ln in enumerate(text.split("\n"), 1):
-            part = JOINED.match(NUMBER.sub("", ln)) if open_no else None
-            if part:
-                out.append((open_no, part["v"]))
+            bare = NUMBER.sub("", ln)
+            skip = at + len(ln) - len(bare)
+            if open_no and (part := JOINED.match(bare)):
+                out.append((open_no, skip + part.start("v"), skip + part.end("v")))
                 open_no = open_no if part["more"] else 0
             elif TRIGGER.search(ln) and not any(s < at + len(ln) and at > s and at < e for s, e in blocks):
-                bare = NUMBER.sub("", ln)
-                values = [v for v in dict.fromkeys(self.line(bare, before)) if v]
-                out += [(no, v) for v in values]
-                open_no = no if values and bare.rstrip().endswith(tuple(f"{values[-1]}{q}{j}" for q in "'\"`" for j in (" +", " \\", "+", "\\", " .", ""))) else 0
+                places = self.line(bare, before)
+                out += [(no, skip + a, skip + b) for a, b in places]
+                open_no = no if places and any(bare.rstrip() == bare[: places[-1][1]] + q + j for q in "'\"`" for j in (" +", " \\", "+", "\\", " .", "")) else 0
             else:
                 open_no = 0
             at += len(ln) + 1
             before = ln
         return out
 
+    def marks(self, text: str) -> list[tuple[int, int, str]]:
+        """(start, end, placeholder) of a text, without overlap: places that overlap are one."""
+        out: list[tuple[int, int, str]] = []
+        for a, b in sorted((a, b) for _, a, b in self.spans(text)):
+            if out and a < out[-1][1]:
+                out[-1] = (out[-1][0], max(b, out[-1][1]), out[-1][2])
+            else:
+                out.append((a, b, "[REDACTED:PRIVATE_KEY]" if text.startswith("-----BEGIN", a) else "[REDACTED:CREDENTIAL]"))
+        return out
+
 
 def found(records: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """p5_found: (rec_id, place, line_no) of lines on which a live credential starts."""
+    vocabulary = ship_file(records.sparkSession, vocabulary)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         finder = Finder(vocabulary)
         for pdf in batches:
             rows: list[tuple] = []
             for rec, role, raw in zip(pdf.rec_id, pdf.msg_role, pdf.msg_content):
-                tool = (role or "").strip().lower() == "tool"
-                for place, text, result in texts(raw):
-                    if result or tool and place == "content":
-                        rows += dict.fromkeys((rec, place, no) for no, _ in finder.find(text))
+                for place, text in results(role, raw):
+                    rows += dict.fromkeys((rec, place, no) for no, _, _ in finder.spans(text))
             yield pd.DataFrame(rows, columns=["rec_id", "place", "line_no"])
 
-    return _tools(records).select("rec_id", "msg_role", "msg_content").mapInPandas(run, "rec_id long, place string, line_no long")
+    tools = records.where("msg_content LIKE '%tool_result%' OR lower(trim(msg_role)) = 'tool'")
+    return tools.select("rec_id", "msg_role", "msg_content").mapInPandas(run, "rec_id long, place string, line_no long")
+
+
+def results(role: str | None, raw: str | None) -> list[tuple[str, str]]:
+    """(place, text) of the tool results of a content; the string content of a record with the role tool is one."""
+    tool = (role or "").strip().lower() == "tool"
+    return [(place, text) for place, text, result in texts(raw) if result or tool and place == "content"] if tool or "tool_result" in (raw or "") else []
 
 
 def redact(records: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(rec_id, n_secrets, msg_content) of the rows that hold secrets, these replaced, every other character as it was."""
+    """(rec_id, n_secrets, msg_content) of all rows, the secrets of tool results replaced at their places, every other character as it was."""
+    vocabulary = ship_file(records.sparkSession, vocabulary)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         finder = Finder(vocabulary)
         for pdf in batches:
             rows = []
             for rec, role, raw in zip(pdf.rec_id, pdf.msg_role, pdf.msg_content):
-                tool = (role or "").strip().lower() == "tool"
-                strings = [t for place, t, result in texts(raw) if result or tool and place == "content"] or [raw.replace("\\n", "\n").replace('\\"', '"')]
-                secrets = {v: "[REDACTED:PRIVATE_KEY]" if v.startswith("-----") else "[REDACTED:CREDENTIAL]" for t in strings for _, v in finder.find(t)}
-                if secrets:
-                    rows.append((rec, len(secrets), replace_raw(raw, secrets)))
+                if raw and ("tool_result" in raw or (role or "").strip().lower() == "tool") and not readable(raw):
+                    whole, at = unescaped(raw)
+                    marks, out = finder.marks(whole), raw
+                    for a, b, label in reversed(marks):
+                        out = f"{out[: at[a]]}{label}{out[at[b] :]}"
+                    rows.append((rec, len(marks), out))
+                    continue
+                found_in = {text: marks for _, text in results(role, raw) if (marks := finder.marks(text))}
+                rows.append((rec, sum(map(len, found_in.values())), replace_spans(raw, found_in) if found_in else raw))
             yield pd.DataFrame(rows, columns=["rec_id", "n_secrets", "msg_content"])
 
-    return _tools(records).select("rec_id", "msg_role", "msg_content").mapInPandas(run, "rec_id long, n_secrets int, msg_content string")
-
-
-def _tools(records: DataFrame) -> DataFrame:
-    return records.where("msg_content LIKE '%tool_result%' OR lower(trim(msg_role)) = 'tool'")
+    return records.select("rec_id", "msg_role", "msg_content").mapInPandas(run, "rec_id long, n_secrets int, msg_content string")

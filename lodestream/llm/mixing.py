@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .blocks import VOCABULARY
+from .blocks import VOCABULARY, local_file, ship_file
 
 BLOCK = 5_000
 #: Units of middling size of each source that no flight touches, left to the landing: a very large text may stay undecided in the flight, and these make up for it.
@@ -36,7 +36,7 @@ def encoding(path: str):
     import tiktoken
 
     pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""  # fixed value of the vocabulary
-    with open(path, "rb") as f:
+    with open(local_file(path), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in f)}
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
@@ -48,6 +48,7 @@ def source_key(source: Column) -> Column:
 
 def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, source, tokens) of the texts with content."""
+    vocabulary = ship_file(docs.sparkSession, vocabulary)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoding(vocabulary)

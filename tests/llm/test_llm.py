@@ -400,10 +400,20 @@ def test_credentials_found_and_redacted(transcript):
     df = transcript([{"msg_content": result(body), "msg_role": "tool"}, {"msg_content": nested, "msg_role": "tool"}, {"msg_content": text(SECRETS[0])}, {"msg_content": None}, {"msg_content": result(body)[:-3], "msg_role": "tool"}, {"msg_content": result(LONG)}])
     assert rows(credentials.found(df)) == [(1, "0", 2), (2, "0.content.1", 1)]
     out = {r.rec_id: r.msg_content for r in credentials.redact(df).collect()}
-    assert set(out) == {1, 2, 5} and out[1] == result(body.replace("QXIAJFCL6X5DM5R72CSA", "[REDACTED:CREDENTIAL]"))
+    given = {r.rec_id: r.msg_content for r in df.collect()}
+    assert {k for k in given if out[k] != given[k]} == {1, 2, 5} and len(out) == 6 and out[5] == given[5].replace("QXIAJFCL6X5DM5R72CSA", "[REDACTED:CREDENTIAL]") and out[1] == result(body.replace("QXIAJFCL6X5DM5R72CSA", "[REDACTED:CREDENTIAL]"))
     assert credentials.found(df.limit(0)).count() == 0
 
 
+def test_only_the_place_of_a_credential_is_redacted(transcript):
+    body = "rexk9z2Q7 = 1\nuser_rexk9z2Q7b = 'rexk9z2Q7c'\nlogin attempt user=x password=rexk9z2Q7\nrexk9z2Q7"
+    raw = json.dumps([{"type": "text", "text": "rexk9z2Q7 is mine"}, {"type": "tool_result", "tool_use_id": "rexk9z2Q7", "content": body}])
+    [r] = credentials.redact(transcript([{"msg_content": raw, "msg_role": "tool"}])).collect()
+    assert r.n_secrets == 1 and r.msg_content == raw.replace("password=rexk9z2Q7", "password=[REDACTED:CREDENTIAL]")
+    url = "dsn = 'postgres://u:k9z2Q7rexx81@db.test/x'  # password=k9z2Q7rexx81"
+    assert credentials.Finder().marks(url) == [(url.index("k9z2"), url.index("@"), "[REDACTED:CREDENTIAL]"), (len(url) - 12, len(url), "[REDACTED:CREDENTIAL]")]
+
+
 def test_joined_literals_are_redacted_whole():
     t = "const access_token = 'ef198e20-f4bd-4f4e' +\n  '-a418-f5b4dfcdd011';\nconst n = 'plain-words';"
     assert credentials.Finder().find(t) == [(1, "ef198e20-f4bd-4f4e"), (1, "-a418-f5b4dfcdd011")]
@@ -421,7 +431,7 @@ def test_replace_spans_leaves_all_else():
 
 
 def test_an_id_ends_before_the_next_word():
-    c = personal.candidates("breaks has SSN 626-00-7289 in the notes")
+    c = personal.candidates("breaks has SSN 626-00-7289 in the notes", {})
     assert {"breaks has SSN 626-00-7289 in the notes"[s:e] for s, e, k, g in c if k == "id_number"} == {"626-00-7289"}
 
 
