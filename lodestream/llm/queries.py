@@ -19,6 +19,7 @@ QUERIES = {
     "p2_found": lambda spark, d: history_dedup.repeats(table(spark, d, "gold_entries")),
     "p3_found": lambda spark, d: splitting.human_turns(table(spark, d, "transcripts")),
     "p3_parts": lambda spark, d: splitting.parts(table(spark, d, "transcripts")),
+    "p3_texts": lambda spark, d: splitting.part_texts(table(spark, d, "transcripts")),
     "p3_pieces": lambda spark, d: splitting.pieces(table(spark, d, "transcripts")),
     "p4_found": lambda spark, d: conversations.rejected(conversations.segments(spark, f"{d}/transcripts.parquet")),
     "p4_conversations": lambda spark, d: conversations.kept(conversations.segments(spark, f"{d}/transcripts.parquet")),

@@ -126,7 +126,7 @@ def pieces(records: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> Da
     )
 
 
-UNIT = "session_id string, uuid string, rec_no long, human boolean, n_bytes long, session_bytes long, block long, part_in_block int, starts_part boolean, part_bytes long"
+UNIT = "session_id string, uuid string, rec_id long, rec_no long, human boolean, n_bytes long, session_bytes long, block long, part_in_block int, starts_part boolean, part_bytes long"
 
 
 def units(records: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
@@ -156,37 +156,82 @@ def units(records: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> Dat
         pdf["part_bytes"] = pdf.groupby("part_in_block").n_bytes.transform("sum")
         return pdf[[c.split()[0] for c in UNIT.split(", ")]]
 
-    return cum.withColumn("block", block).select("session_id", "uuid", "rec_no", "human", "n_bytes", "session_bytes", "block").groupBy("session_id", "block").applyInPandas(run, UNIT)
+    return cum.withColumn("block", block).select("session_id", "uuid", "rec_id", "rec_no", "human", "n_bytes", "session_bytes", "block").groupBy("session_id", "block").applyInPandas(run, UNIT)
 
 
-def parts(records: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
-    """Numbered parts of the sessions over the limit, as the records they hold and the stretch they repeat.
+def _plan(u: DataFrame, limit: int, overlap: int) -> tuple[DataFrame, DataFrame]:
+    """Of the units: one row per part with its number and the length of what it repeats; and the records at the end of each part that the next may repeat.
 
-    ``overlap_bytes`` is the length of the end of the part before that the part repeats; it starts at byte ``overlap_from`` of the content of
-    record ``overlap_uuid``. A record that leaves less room repeats as much as fits. A part that holds one record over the limit repeats
-    nothing and is cut further by ``pieces``; ``n_pieces`` says into how many.
+    A part's number is the number of parts in the blocks before it plus its place in its block: only the counts of a session's blocks are scanned in order,
+    and a part meets the one before it by a join on the number, so no task holds a session.
     """
-    u = units(records, limit, overlap)
-    p = u.groupBy("session_id", "block", "part_in_block", "session_bytes").agg(
+    p = u.groupBy("session_id", "block", "part_in_block").agg(
         F.min("rec_no").alias("first_rec"), F.max("rec_no").alias("last_rec"), F.min_by("uuid", "rec_no").alias("first_uuid"), F.max_by("uuid", "rec_no").alias("last_uuid"),
         F.min_by("human", "rec_no").alias("begins_human"), F.max("part_bytes").alias("new_bytes"),
     )
-    w = Window.partitionBy("session_id").orderBy("first_rec")
+    w = Window.partitionBy("session_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = p.groupBy("session_id", "block").agg(F.max("part_in_block").alias("_last")).withColumn("_before", F.coalesce(F.sum(F.col("_last") + 1).over(w), F.lit(0)))
+    p = p.join(blocks.select("session_id", "block", "_before"), ["session_id", "block"]).withColumn("part_index", (F.col("_before") + F.col("part_in_block") + 1).cast("int")).drop("_before")
+    before = p.select("session_id", (F.col("part_index") + 1).alias("part_index"), F.col("new_bytes").alias("_had"))
+    room = F.greatest(F.lit(0).cast("long"), F.lit(limit) - F.col("new_bytes"))
+    p = p.join(before, ["session_id", "part_index"], "left").withColumn("overlap_bytes", F.least(F.lit(overlap).cast("long"), room, F.coalesce("_had", F.lit(0)))).drop("_had")
     back = Window.partitionBy("session_id", "block", "part_in_block").orderBy(F.desc("rec_no"))
     tail = u.withColumn("upto", F.sum("n_bytes").over(back)).where((F.col("n_bytes") > 0) & (F.col("upto") - F.col("n_bytes") < overlap))
-    tail = tail.groupBy("session_id", "block", "part_in_block").agg(F.sort_array(F.collect_list(F.struct("upto", "uuid"))).alias("tail"))
-    p = p.join(tail, ["session_id", "block", "part_in_block"], "left")
-    room = F.greatest(F.lit(0).cast("long"), F.lit(limit) - F.col("new_bytes"))
-    p = p.withColumns({"part_index": F.row_number().over(w), "overlap_bytes": F.least(F.lit(overlap).cast("long"), room, F.coalesce(F.lag("new_bytes").over(w), F.lit(0))), "before": F.lag("tail").over(w)})
-    source = F.when(F.col("overlap_bytes") > 0, F.get(F.filter("before", lambda x: x.upto >= F.col("overlap_bytes")), F.lit(0)))
-    p = p.withColumns({"overlap_uuid": source.uuid, "overlap_from": source.upto - F.col("overlap_bytes")})
+    tail = tail.join(p.select("session_id", "block", "part_in_block", (F.col("part_index") + 1).alias("_next")), ["session_id", "block", "part_in_block"])
+    return p, tail.select("session_id", F.col("_next").alias("part_index"), "rec_id", "uuid", "rec_no", "upto", "n_bytes")
+
+
+def parts(records: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+    """Numbered parts of the sessions over the limit, as the records they hold and the stretch they repeat.
+
+    ``overlap_bytes`` is the length of the end of the part before that the part repeats; it starts at byte ``overlap_from`` of the content of
+    record ``overlap_uuid``. A record that leaves less room repeats as much as fits. A part that holds one record over the limit repeats
+    nothing and is cut further (as by ``pieces``); ``n_pieces`` says into how many. ``part_texts`` gives the contents.
+    """
+    p, tail = _plan(units(records, limit, overlap), limit, overlap)
+    source = tail.join(p.select("session_id", "part_index", "overlap_bytes"), ["session_id", "part_index"]).where("overlap_bytes > 0 AND upto >= overlap_bytes")
+    source = source.groupBy("session_id", "part_index").agg(F.min_by(F.struct("uuid", (F.col("upto") - F.col("overlap_bytes")).alias("at")), "upto").alias("_o"))
     n = pieces(records, limit, overlap).groupBy(F.col("uuid").alias("first_uuid")).agg(F.max("total_pieces").alias("n_pieces"))
-    return p.join(n, "first_uuid", "left").select(
+    return p.join(source, ["session_id", "part_index"], "left").join(n, "first_uuid", "left").select(
         "session_id", "part_index", "first_uuid", "last_uuid", "begins_human", (F.col("last_rec") - F.col("first_rec") + 1).alias("n_records"),
-        "new_bytes", "overlap_bytes", "overlap_uuid", "overlap_from", F.coalesce("n_pieces", F.lit(1)).alias("n_pieces"),
+        "new_bytes", "overlap_bytes", F.col("_o.uuid").alias("overlap_uuid"), F.col("_o.at").alias("overlap_from"), F.coalesce("n_pieces", F.lit(1)).alias("n_pieces"),
     )
 
 
+def part_texts(records: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+    """The contents of the parts: (session_id, part_index, piece_index, rec_no, uuid, is_repeat, from_byte, part_text), to be read in the order of the first four.
+
+    Rows of one (part, piece) have ``limit`` bytes at most together. Repeated stretches stand under the records they are from; one that would begin inside a character begins
+    behind it. A record over the limit is its own part of several pieces, each with the repeated end of the piece before in its text. Contents are shuffled once, by ``rec_id``.
+    """
+    u = units(records, limit, overlap)
+    p, tail = _plan(u, limit, overlap)
+    new = u.join(p.select("session_id", "block", "part_in_block", "part_index"), ["session_id", "block", "part_in_block"]).where("n_bytes > 0")
+    new = new.select("session_id", "part_index", "rec_id", "uuid", "rec_no", F.lit(False).alias("is_repeat"), F.lit(0).cast("long").alias("from_byte"))
+    again = tail.join(p.select("session_id", "part_index", "overlap_bytes"), ["session_id", "part_index"]).where(F.col("upto") - F.col("n_bytes") < F.col("overlap_bytes"))
+    again = again.select("session_id", "part_index", "rec_id", "uuid", "rec_no", F.lit(True).alias("is_repeat"), F.greatest(F.lit(0), F.col("upto") - F.col("overlap_bytes")).cast("long").alias("from_byte"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for sid, part, no, uuid, repeat, at, text in zip(pdf.session_id, pdf.part_index, pdf.rec_no, pdf.uuid, pdf.is_repeat, pdf.from_byte, pdf.msg_content):
+                raw = text.encode("utf-8", "surrogatepass")
+                if repeat:
+                    while at < len(raw) and raw[at] & 0xC0 == 0x80:
+                        at += 1
+                    cuts = [(at, at, len(raw))]
+                else:
+                    cuts = cut_text(text, limit, overlap)
+                rows += [(sid, part, i + 1, no, uuid, repeat, r, raw[r:e].decode("utf-8", "replace")) for i, (r, _, e) in enumerate(cuts)]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in TEXTS.split(", ")])
+
+    joined = new.unionByName(again).join(records.select("rec_id", "msg_content"), "rec_id")
+    return joined.select("session_id", "part_index", "rec_no", "uuid", "is_repeat", "from_byte", "msg_content").mapInPandas(run, TEXTS)
+
+
+TEXTS = "session_id string, part_index int, piece_index int, rec_no long, uuid string, is_repeat boolean, from_byte long, part_text string"
+
+
 def human_turns(records: DataFrame) -> DataFrame:
     """p3_found: the human turns, the preferred boundaries, of each session over the limit."""
     return units(records).where("human").select("session_id", "uuid")

@@ -290,6 +290,34 @@ def test_parts_with_their_overlap_stay_within_the_limit(transcript, monkeypatch)
         assert not b.overlap_bytes or sum(sizes[at : last + 1]) - b.overlap_from == b.overlap_bytes
 
 
+def test_texts_of_parts_rebuild_the_sessions(transcript, monkeypatch):
+    monkeypatch.setattr(splitting, "BLOCK_PARTS", 3)
+    r = random.Random(22)
+    texts_ = ["".join(r.choice("ab é.\n") for _ in range(r.choice((0, 20, 90, 200, 460, 1700)))) for _ in range(60)]
+    df = transcript([{"msg_content": t, "uuid": f"u{i:03d}"} for i, t in enumerate(texts_)]).withColumn("part_index", F.lit("clash"))
+    got = sorted(splitting.part_texts(df, limit=500, overlap=40).collect(), key=lambda x: (x.part_index, x.piece_index, x.rec_no))
+    planned = {p.part_index: p for p in splitting.parts(df, limit=500, overlap=40).collect()}
+    size, back = {}, ""
+    for x in got:
+        n = len(x.part_text.encode())
+        size[x.part_index, x.piece_index] = size.get((x.part_index, x.piece_index), 0) + n
+        full = texts_[int(x.uuid[1:])].encode()
+        assert full[x.from_byte :].decode(errors="ignore").startswith(x.part_text) or full[x.from_byte :].decode(errors="ignore").lstrip("\ufffd").startswith(x.part_text)
+    assert max(size.values()) <= 500 and len(planned) > 12
+    for k, p in planned.items():
+        new = [x for x in got if x.part_index == k and not x.is_repeat]
+        again = sum(len(x.part_text.encode()) for x in got if x.part_index == k and x.is_repeat)
+        assert p.overlap_bytes - 3 <= again <= p.overlap_bytes and max([x.piece_index for x in new], default=1) == p.n_pieces
+        if p.n_pieces == 1:
+            back += "".join(x.part_text for x in new)
+        else:  # each piece begins with the end of the one before
+            whole = new[0].part_text
+            for x in new[1:]:
+                whole = whole.encode()[: x.from_byte].decode() + x.part_text
+            back += whole
+    assert back == "".join(texts_)
+
+
 def test_human_turns_of_large_sessions(transcript):
     big = text("y" * 9_000)
     df = transcript(
