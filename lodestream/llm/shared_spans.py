@@ -85,21 +85,25 @@ def seeds_of(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def seeds(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, pos, fp, prev_fp, gap) of all kept seeds; texts are read once and not shuffled."""
+    """(doc_id, pos, fp, before) of all kept seeds; ``before`` is a hash of the seed before it and the distance, 0 if that is over SEED. Texts are read once and not shuffled."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            cols: list[list[np.ndarray]] = [[], [], [], [], []]
+            docs_, places, fps, before = [], [], [], []
             for doc, text in zip(pdf.doc_id, pdf.text):
                 at, fp = seeds_of(text)
                 if len(at):
-                    gap = np.append(0, np.diff(at))
-                    for c, v in zip(cols, (np.full(len(at), doc), at, fp.view(np.int64), np.append(0, fp[:-1].view(np.int64)), gap)):
-                        c.append(v)
-            yield pd.DataFrame({n: np.concatenate(c) if c else np.empty(0, np.int64) for n, c in zip(("doc_id", "pos", "fp", "prev_fp", "gap"), cols)})
+                    gap = np.diff(at).astype(np.uint64)
+                    link = np.where(gap <= np.uint64(SEED), ((fp[:-1] + gap * _B) * _A) | np.uint64(1), np.uint64(0))
+                    docs_.append(np.full(len(at), doc))
+                    places.append(at.astype(np.int32))
+                    fps.append(fp.view(np.int64))
+                    before.append(np.append(np.uint64(0), link).view(np.int64))
+            cols = zip(("doc_id", "pos", "fp", "before"), (docs_, places, fps, before), (np.int64, np.int32, np.int64, np.int64))
+            yield pd.DataFrame({n: np.concatenate(c) if c else np.empty(0, t) for n, c, t in cols})
 
     long_enough = docs.select("doc_id", "text").where(F.char_length("text") >= MIN_LEN)
-    return long_enough.mapInPandas(run, "doc_id long, pos long, fp long, prev_fp long, gap long")
+    return long_enough.mapInPandas(run, "doc_id long, pos int, fp long, before long")
 
 
 def copies(docs: DataFrame) -> DataFrame:
@@ -111,11 +115,9 @@ def copies(docs: DataFrame) -> DataFrame:
 
 def heads(seed_rows: DataFrame, copied: DataFrame) -> DataFrame:
     """Seeds of several texts that start a chain, at each place: (doc_id, places)."""
-    own = seed_rows.join(copied.where("doc_id <> rep").select("doc_id"), "doc_id", "left_anti")
-    before = F.struct("prev_fp", "gap")
-    g = own.groupBy("fp").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.min(before).alias("p"), F.max(before).alias("q"))
-    chained = (F.col("p") == F.col("q")) & F.col("p.gap").between(1, SEED)
-    kept = g.where((F.col("a") < F.col("b")) & ~chained).select("fp")
+    own = seed_rows.join(copied.where("doc_id <> rep").select("doc_id"), "doc_id", "left_anti").repartition("fp")  # one shuffle serves the counts and the join
+    g = own.groupBy("fp").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.min("before").alias("p"), F.max("before").alias("q"))
+    kept = g.where((F.col("a") < F.col("b")) & ((F.col("p") != F.col("q")) | (F.col("p") == 0))).select("fp")
     return own.join(kept, "fp", "left_semi").groupBy("doc_id").agg(F.collect_list("pos").alias("places"))
 
 
