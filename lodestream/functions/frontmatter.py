@@ -50,15 +50,28 @@ def render(value: Column) -> Column:
     return F.coalesce(value.cast("string"), F.lit("null"))
 
 
-def rewrite(text: Column, key: str, value: Column) -> Column:
-    """Replace the value of a key in place, or add the key at the end of the frontmatter; other lines and the body stay."""
-    new = F.concat(F.lit(f"{key}: "), value)
+def rewrite_all(text: Column, values: dict[str, Column]) -> Column:
+    """Replace the values of keys in place, or add keys at the end of the frontmatter, in the given order; other lines and the body stay. A NULL value changes nothing."""
     h = head(text)
-    there = F.exists(h, lambda x: x.startswith(f"{key}:"))
-    lines = F.when(there, F.transform(h, lambda x: F.when(x.startswith(f"{key}:"), new).otherwise(x))).otherwise(F.array_append(h, new))
+    new = {k: F.concat(F.lit(f"{k}: "), v) for k, v in values.items()}
+
+    def line(x: Column) -> Column:
+        out = x
+        for k, v in new.items():
+            out = F.when(x.startswith(f"{k}:") & v.isNotNull(), v).otherwise(out)
+        return out
+
+    there = lambda k: F.exists(h, lambda x: x.startswith(f"{k}:"))
+    added = F.array_compact(F.array(*[F.when(~there(k), v) for k, v in new.items()]))
+    lines = F.concat(F.transform(h, line), added)
     return F.when(h.isNull(), text).otherwise(F.concat(F.lit("---\n"), F.array_join(lines, "\n"), F.lit("\n---\n\n"), body(text)))
 
 
+def rewrite(text: Column, key: str, value: Column) -> Column:
+    """Replace the value of a key in place, or add the key at the end of the frontmatter; other lines and the body stay."""
+    return rewrite_all(text, {key: value})
+
+
 def title(text: Column, fallback: Column) -> Column:
     """The first level-one heading, else the fallback."""
     return F.coalesce(F.nullif(F.trim(F.regexp_extract(text, r"(?m)^#[ \t]+(.+)$", 1)), F.lit("")), fallback)

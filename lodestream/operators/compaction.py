@@ -64,10 +64,19 @@ def silver_filename(manifest: DataFrame) -> DataFrame:
 def prompt_route(manifest: DataFrame) -> DataFrame:
     """Which prompt a row takes, and the tags of a continuation's input."""
     more = F.coalesce("part_index", F.lit(1)) > 1
-    info = F.format_string("<part-info>part %d of %d</part-info>", F.col("part_index"), F.coalesce("total_parts", F.col("part_index")))
+    info = F.format_string("<part-info>part_index=%d total_parts=%d</part-info>", F.col("part_index"), F.coalesce("total_parts", F.col("part_index")))
     return manifest.select("session_id", F.when(more, "continue").otherwise("fresh").alias("prompt"), F.when(more, info).alias("part_info"))
 
 
+def continuation(manifest: DataFrame, silver: DataFrame, bronze: DataFrame) -> DataFrame:
+    """The input of each continuation: the silver document so far (silver_path, text), the part's place, the part's bronze text (session_id, text); a missing text is empty."""
+    more = prompt_route(manifest).where("prompt = 'continue'").join(manifest.select("session_id", "silver_path"), "session_id")
+    more = more.join(silver.select("silver_path", F.col("text").alias("_s")), "silver_path", "left").join(bronze.select("session_id", F.col("text").alias("_b")), "session_id", "left")
+    none = F.lit("")
+    text = F.concat(F.lit("<prior-silver>\n"), F.coalesce("_s", none), F.lit("\n</prior-silver>\n\n"), "part_info", F.lit("\n\n<bronze-part>\n"), F.coalesce("_b", none), F.lit("\n</bronze-part>"))
+    return more.select("session_id", text.alias("input"))
+
+
 def ratio_band(manifest: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
     """Silver to bronze bytes; an empty bronze has no ratio."""
     ratio = F.when(F.col("bronze_size_bytes") > 0, F.col("silver_size_bytes") / F.col("bronze_size_bytes"))

@@ -19,6 +19,38 @@ def extract_groups(manifest: DataFrame) -> DataFrame:
     return m.groupBy("silver_path").agg(F.max_by("session_id", order).alias("canonical"), F.count("*").alias("n_parts"), F.max(F.coalesce("part_index", F.lit(0))).alias("last_part"))
 
 
+def propagate(manifest: DataFrame, results: DataFrame, at: str) -> DataFrame:
+    """Manifest updates after extraction: every row of a group takes the result of its canonical row (silver_path, gold_paths): (session_id, status, extracted_at, gold_paths, error)."""
+    group = manifest.where("status = 'silver' AND coalesce(silver_path, '') <> ''").select("session_id", "silver_path")
+    return group.join(results.select("silver_path", "gold_paths"), "silver_path").select("session_id", F.lit("gold").alias("status"), F.lit(at).alias("extracted_at"), "gold_paths", F.lit(None).cast("string").alias("error"))
+
+
+#: Keys of an entry's frontmatter, in order, with the columns they are from (fixed values).
+ENTRY_KEYS = (
+    ("id", "id"), ("type", "entry_type"), ("topics", "topics"), ("projects", "projects"), ("agents", "agents"), ("staleness_policy", "staleness_policy"), ("source_sessions", "source_sessions"), ("created", "created"),
+    ("last_validated", "last_validated"), ("last_queried", "last_queried"), ("query_count", "query_count"), ("confidence", "confidence"), ("supersedes", "supersedes"), ("thread_id", "thread_id"),
+)
+
+
+def entry_documents(gold: DataFrame) -> DataFrame:
+    """(entry_no, name, text): the Markdown document of each entry, frontmatter, blank line and body."""
+    lists = {f.name for f in gold.schema.fields if f.dataType.typeName() == "array"}
+    rows = [F.concat(F.lit(f"{k}: "), fm.render_list(F.coalesce(c, F.array().cast("array<string>"))) if c in lists else fm.render(F.col(c))) for k, c in ENTRY_KEYS]
+    body = F.regexp_replace(F.coalesce("body", F.lit("")), r"^\s+|\s+$", "")
+    return gold.select("entry_no", F.col("id").alias("name"), F.concat(F.lit("---\n"), F.concat_ws("\n", *rows), F.lit("\n---\n\n"), body, F.lit("\n")).alias("text"))
+
+
+def visible(gold: DataFrame) -> DataFrame:
+    """The first row of each id that no entry supersedes: what a search may return."""
+    retired = gold.select(F.explode("supersedes").alias("id")).where("id <> ''").distinct()
+    return first_rows(gold).join(retired, "id", "left_anti")
+
+
+def arrived_since(gold: DataFrame, mark: int | None) -> DataFrame:
+    """Entries of batches after the mark of the last run; all without a mark."""
+    return gold if mark is None else gold.where(F.col("batch_no") > mark)
+
+
 def recoverable() -> Column:
     """Extracted without entries; a missing list is not recoverable."""
     return (F.col("status") == "gold") & F.col("gold_paths").isNotNull() & (F.size("gold_paths") == 0)

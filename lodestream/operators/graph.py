@@ -38,13 +38,27 @@ def stars(df: DataFrame, key: str, node: str) -> DataFrame:
 
 
 def records(comp: DataFrame, triggers: DataFrame) -> DataFrame:
-    """Cluster records: number by size and least member, members in order, triggers among them. Clusters without trigger are left out,
-    but use up their number; the members of a cluster are collected, since the record holds them."""
-    n = comp.groupBy("cluster").agg(F.count("*").alias("size"), F.array_join(F.array_sort(F.collect_list("id")), ",").alias("members"))
+    """Cluster records: (cluster, cluster_id, size, n_triggers), numbered by size and least member. Clusters without trigger are left out, but use up their number."""
+    n = comp.groupBy("cluster").agg(F.count("*").alias("size"))
     # Numbering needs the sizes only: ranks inside each size are added to the count of clusters of larger sizes.
     sizes = n.groupBy("size").agg(F.count("*").alias("k"))
     base = sizes.withColumn("base", F.coalesce(F.sum("k").over(Window.orderBy(F.col("size").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("size", "base")
     rank = F.row_number().over(Window.partitionBy("size").orderBy("cluster"))
     t = comp.join(triggers.select("id").distinct(), "id", "left_semi").groupBy("cluster").agg(F.count("*").alias("n_triggers"))
     out = n.join(base, "size").withColumn("cluster_id", F.format_string("c%03d", F.col("base") + rank))
-    return out.join(t, "cluster").select("cluster_id", "size", "members", "n_triggers")
+    return out.join(t, "cluster").select("cluster", "cluster_id", "size", "n_triggers")
+
+
+def members(comp: DataFrame, triggers: DataFrame, scores: DataFrame) -> DataFrame:
+    """The members of the clusters that have a trigger, a row each, so that no record holds a whole cluster: (cluster, id, is_trigger, best_score).
+
+    ``best_score`` is the best score, to three digits, of a pair (trigger, member), in this direction or, where it is missing or zero, in the other; NULL if there is none.
+    """
+    t = triggers.select("id").distinct().withColumn("is_trigger", F.lit(True))
+    marked = comp.join(t, "id", "left").withColumn("is_trigger", F.coalesce("is_trigger", F.lit(False)))
+    some = marked.where("is_trigger").select("cluster").distinct()
+    there = scores.select(F.col("src").alias("t"), F.col("dst").alias("id"), "score")
+    back = scores.select(F.col("dst").alias("t"), F.col("src").alias("id"), F.col("score").alias("reverse"))
+    pair = there.join(back, ["t", "id"], "full").select("t", "id", F.coalesce(F.nullif("score", F.lit(0.0)), "reverse").alias("s"))
+    best = pair.join(t.select(F.col("id").alias("t")), "t", "left_semi").groupBy("id").agg(F.round(F.max("s"), 3).alias("best_score"))
+    return marked.join(some, "cluster", "left_semi").join(best, "id", "left").select("cluster", "id", "is_trigger", "best_score")

@@ -38,6 +38,24 @@ def new_sessions(transcripts: DataFrame, manifest: DataFrame) -> DataFrame:
     return transcripts.where("session_id IS NOT NULL").groupBy("session_id").agg(F.count("*").alias("n_rows")).join(known, "session_id", "left_anti")
 
 
+def outcomes(transcripts: DataFrame, manifest: DataFrame, large: int = LARGE) -> DataFrame:
+    """What a run does with each session: (session_id, outcome) of ingested, skipped_known, skipped_large, or errors for a session none of whose records has a type."""
+    known = manifest.select(logical_id(F.col("session_id"), F.col("part_index")).alias("session_id")).distinct().withColumn("_known", F.lit(True))
+    one = transcripts.where("session_id IS NOT NULL").groupBy("session_id").agg(F.sum(F.coalesce(F.octet_length("msg_content"), F.lit(0)).cast("long")).alias("n"), F.count_if(F.coalesce("rec_type", F.lit("")) != "").alias("typed"))
+    what = F.when(F.col("_known"), "skipped_known").when(F.col("n") > large, "skipped_large").when(F.col("typed") == 0, "errors").otherwise("ingested")
+    return one.join(known, "session_id", "left").select("session_id", what.alias("outcome"))
+
+
+def bronze_filename(session_id: Column, modified_at: Column) -> Column:
+    """Day of the last change (UTC) and session."""
+    return F.concat(F.date_format(modified_at, "yyyy-MM-dd"), F.lit("_"), session_id, F.lit(".jsonl"))
+
+
+def subagent_filename(session_id: Column, started_at: Column, modified_at: Column) -> Column:
+    """As a session's, but by the day it started, if that is known."""
+    return F.concat(F.coalesce(F.nullif(F.substring(started_at, 1, 10), F.lit("")), F.date_format(modified_at, "yyyy-MM-dd")), F.lit("_"), session_id, F.lit(".jsonl"))
+
+
 def sidecar_latest(sidecar: DataFrame) -> DataFrame:
     """The last row of each session; rows without session id are skipped."""
     cols = [c for c in sidecar.columns if c != "session_id"]

@@ -51,6 +51,7 @@ QUERIES = {
     "git_basename": lambda s, d: SC(s, d).select("repo_root").distinct().select("repo_root", compaction.url_basename(F.col("repo_root")).alias("base_name")),
     "silver_document": lambda s, d: compaction.frontmatter(_latest(s, d).where("silver_path IS NOT NULL")),
     "silver_filename": lambda s, d: compaction.silver_filename(_latest(s, d)),
+    "bronze_filename": lambda s, d: T(s, d).where("session_id IS NOT NULL").groupBy("session_id").agg(F.max("loaded_at").alias("m"), F.min("rec_ts").alias("t")).select("session_id", ingest.bronze_filename(F.col("session_id"), F.col("m")).alias("file_name"), ingest.subagent_filename(F.col("session_id"), F.col("t"), F.col("m")).alias("subagent_file_name")),
     "prompt_route": lambda s, d: compaction.prompt_route(_latest(s, d)),
     "ratio_bands": lambda s, d: compaction.ratio_band(_latest(s, d)),
 }
@@ -64,6 +65,7 @@ r AS (SELECT session_id, i, 1 AS part, b AS cur FROM q WHERE i = 1 UNION ALL
  FROM r JOIN q ON q.session_id = r.session_id AND q.i = r.i + 1 JOIN q x ON x.session_id = r.session_id AND x.i = r.i),
 plan AS (SELECT session_id, part AS part_index, min(rec_id) AS first_rec, max(rec_id) AS last_rec, CAST(sum(b) AS BIGINT) AS part_bytes FROM r JOIN q USING (session_id, i) GROUP BY 1, 2)"""
 ORACLE = {
+    "bronze_filename": "WITH b AS (SELECT session_id, max(loaded_at) AS m, min(rec_ts) AS t FROM transcripts WHERE session_id IS NOT NULL GROUP BY 1) SELECT session_id, concat(strftime(m, '%Y-%m-%d'), '_', session_id, '.jsonl') AS file_name, concat(coalesce(nullif(substr(t, 1, 10), ''), strftime(m, '%Y-%m-%d')), '_', session_id, '.jsonl') AS subagent_file_name FROM b",
     "chunk_plan": _PLAN + " SELECT session_id, CAST(part_index AS BIGINT) AS part_index, count(*) OVER (PARTITION BY session_id) AS total_parts, first_rec, last_rec, part_bytes FROM plan",
     "chunk_invariants": f"""WITH l AS (SELECT session_id, CAST(sum(coalesce(strlen(msg_content), 0) + 1) AS BIGINT) AS session_bytes FROM transcripts WHERE session_id IS NOT NULL GROUP BY 1), p AS ({_PLAN} SELECT session_id, count(*) AS total_parts FROM plan GROUP BY 1) SELECT session_id, session_bytes, total_parts FROM l JOIN p USING (session_id)""",
     "session_metadata_first": """WITH t AS (SELECT session_id, rec_id, nullif(cwd, '') AS cwd, nullif(git_branch, '') AS git_branch, nullif(rec_ts, '') AS rec_ts, coalesce(rec_type, '') = 'permission-mode' AS perm FROM transcripts WHERE session_id IS NOT NULL),
@@ -94,6 +96,6 @@ SELECT session_id, parent_session_id, nullif(j ->> '$.agentType', '') AS agent,
     )
     + ", '---') AS frontmatter FROM latest WHERE silver_path IS NOT NULL",
     "silver_filename": f"WITH {LATEST} SELECT session_id, substr(ingested_at, 1, 10) || '-' || substr({LOGICAL}, 1, 13) || '.md' AS file_name FROM latest",
-    "prompt_route": f"WITH {LATEST} SELECT session_id, CASE WHEN coalesce(part_index, 1) > 1 THEN 'continue' ELSE 'fresh' END AS prompt, CASE WHEN coalesce(part_index, 1) > 1 THEN printf('<part-info>part %d of %d</part-info>', part_index, coalesce(total_parts, part_index)) END AS part_info FROM latest",
+    "prompt_route": f"WITH {LATEST} SELECT session_id, CASE WHEN coalesce(part_index, 1) > 1 THEN 'continue' ELSE 'fresh' END AS prompt, CASE WHEN coalesce(part_index, 1) > 1 THEN printf('<part-info>part_index=%d total_parts=%d</part-info>', part_index, coalesce(total_parts, part_index)) END AS part_info FROM latest",
     "ratio_bands": f"WITH {LATEST}, r AS (SELECT session_id, CASE WHEN bronze_size_bytes > 0 THEN silver_size_bytes::DOUBLE / bronze_size_bytes END AS q FROM latest WHERE silver_size_bytes IS NOT NULL AND bronze_size_bytes IS NOT NULL) SELECT session_id, round(q, 4) AS ratio, CASE WHEN q IS NULL THEN 'no-bronze' WHEN q < 0.01 THEN 'echo' WHEN q > 0.3 THEN 'long' ELSE 'good' END AS band FROM r",
 }
