@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 #: Target fields in the order of the consolidated table.
 TARGET = ("cwd", "git_branch", "session_started_at", "thread_id")
 #: Words (in the name of a path) that can mean the field: the telling words of its own name and their plain synonyms (fixed values).
@@ -125,9 +127,17 @@ def approve(proposals: DataFrame, support: int = 2, share: float = 0.5) -> DataF
     best = good.groupBy("path").agg(F.min_by("field_name", order).alias("field_name"), F.min_by("by_name", order).alias("by_name")).select("field_name", "path", "by_name")
     # a key's value may agree only because its object gives the same text: the object is the place unless the key's name says otherwise
     itself = best.sparkSession.createDataFrame([(f, f) for f in TARGET], "field_name string, _root string")
-    objects = best.where("path NOT LIKE '%.%'").select("field_name", F.col("path").alias("_root")).unionByName(itself)
-    inner = best.where("path LIKE '%.%' AND NOT by_name").withColumn("_root", F.substring_index("path", ".", 1)).join(objects, ["field_name", "_root"], "left_anti")
-    return best.where("path NOT LIKE '%.%' OR by_name").select("field_name", "path").unionByName(inner.select("field_name", "path"))
+    root, inside = F.substring_index("path", ".", 1), F.col("path").contains(".")
+    named = best.where(inside & F.col("by_name")).select("field_name", root.alias("path")).distinct()
+    top = best.where(~inside & F.col("by_name")).unionByName(best.where(~inside & ~F.col("by_name")).join(named, ["field_name", "path"], "left_anti")).select("field_name", "path")
+    objects = top.select("field_name", F.col("path").alias("_root")).unionByName(itself)
+    inner = best.where(inside & ~F.col("by_name")).withColumn("_root", root).join(objects, ["field_name", "_root"], "left_anti").select("field_name", "path")
+    return top.unionByName(best.where(inside & F.col("by_name")).select("field_name", "path")).unionByName(inner)
+
+
+def promotion(ingested: DataFrame) -> DataFrame:
+    """The promotion table of every good proposal; the proposals, a row per path, are written once."""
+    return approve(materialize(propose(ingested), "proposals"))
 
 
 def placed(ingested: DataFrame, approved: DataFrame) -> DataFrame:
@@ -143,7 +153,7 @@ def placed(ingested: DataFrame, approved: DataFrame) -> DataFrame:
 
 def changes(ingested: DataFrame, approved: DataFrame | None = None) -> DataFrame:
     """p7: the change of each target field from the host's previous file to this one; without ``approved`` every good proposal counts."""
-    approved = approve(propose(ingested)) if approved is None else approved
+    approved = promotion(ingested) if approved is None else approved
     files = ingested.select("file_name", "host", "file_seq").distinct()
     counted = placed(ingested, approved).groupBy("file_name", "host", "file_seq", "field_name", "path", json_kind(F.col("json")).alias("kind")).agg(F.count("*").alias("n"))
     place = counted.groupBy("file_name", "host", "file_seq", "field_name").agg(F.min_by(F.struct("path", "kind"), F.struct(-F.col("n"), "path", "kind")).alias("v"))
@@ -173,7 +183,7 @@ def replay(ingested: DataFrame, approved: DataFrame | None = None) -> DataFrame:
     Arrays of path segments become a path, objects give their first text, and numbers in ``session_started_at`` are epoch milliseconds; a numeric thread
     id is its decimal text. What was not moved stays in ``rescued``, also the other keys of an object that gave a value.
     """
-    approved = approve(propose(ingested)) if approved is None else approved
+    approved = promotion(ingested) if approved is None else approved
     moved = placed(ingested, approved).where(F.col("json") != '""').withColumn("value", plain(F.col("field_name"), F.col("json"))).where("value IS NOT NULL")
     taken = F.when(json_kind(F.col("json")) == "object", F.concat_ws(".", "path", part(F.col("json")))).otherwise(F.col("path"))
     wide = moved.withColumn("_taken", taken).groupBy(*KEYS).agg(*[F.max(F.when(F.col("field_name") == f, F.col("value"))).alias(f"new_{f}") for f in TARGET], F.collect_set("_taken").alias("_taken"))

@@ -28,11 +28,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where that is unset (tests) one of our own."""
+    """The folder of ``spark.checkpoint.dir``; only in local mode, where that is unset (tests), one of our own."""
     sc = spark.sparkContext
     ship(spark)
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="spark-lodestream-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(root)
@@ -40,8 +42,26 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, prefix: str) -> str:
-    """A new, unused path in the shared folder."""
-    return os.path.join(shared_root(spark), f"{prefix}-{uuid.uuid4().hex}")
+    """A new, unused path in the shared folder, under one folder for each application, which may go when the application has ended."""
+    return f"{shared_root(spark).rstrip('/')}/lodestream-{spark.sparkContext.applicationId}/{prefix}-{uuid.uuid4().hex}"
+
+
+def _file(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, whatever its scheme, and the path in it."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Is there such a file or folder? Raises where the file system cannot be reached."""
+    fs, p = _file(spark, path)
+    return fs.exists(p)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if it does not exist."""
+    fs, p = _file(spark, path)
+    return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
 
 
 def materialize(df: DataFrame, prefix: str) -> DataFrame:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..operators.ordered import prefix_sums
+from ..session import exists
 
 
 def _one(col: str, n: int):
@@ -32,19 +32,34 @@ def sessions(spark: SparkSession, root: str, max_bytes: int | None = None) -> Da
 
 
 def records(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(path, line_no, raw, rec) of the lines of session files, bytes exact; ``rec`` is NULL for blank and unreadable lines."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").load(paths)
-    each = files.select("path", F.posexplode(F.split(F.decode("content", "UTF-8"), "\n")).alias("line_no", "raw"))
-    return each.where("raw <> ''").select("path", "line_no", "raw", F.try_parse_json("raw").alias("rec"))
+    """(path, line_no, raw, rec) of the lines of session files, bytes exact; ``rec`` is NULL for unreadable lines, blank ones are left out but counted.
+
+    Files are split like any text, so that a large session is several tasks; a line's number is its place in its split plus the lines of the splits before.
+    """
+    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").option("lineSep", "\n").text(paths)
+    at = text.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"), F.col("value").alias("raw"))
+    each = prefix_sums(at, ["path"], F.col("_block"), [F.col("_block"), F.col("_at")], {"_n": F.lit(1)})
+    return each.where("raw <> ''").select("path", (F.col("_n") - 1).cast("int").alias("line_no"), "raw", F.try_parse_json("raw").alias("rec"))
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """Manifest lines, strictly: an unreadable line fails the read, blank lines are skipped, a missing file is an empty table."""
-    if not os.path.exists(path):
+    if not exists(spark, path):
         return spark.createDataFrame([], schemas.MANIFEST)
     return spark.read.schema(schemas.MANIFEST).option("mode", "FAILFAST").json(path)
 
 
+def clusters(spark: SparkSession, path: str) -> DataFrame:
+    """Cluster or proposal lines, strictly: (line, rec); the first unreadable line, with its file, is named in the error."""
+    if not exists(spark, path):
+        raise FileNotFoundError(path)
+    t = spark.read.text(path).where(F.trim("value") != "").select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("line"), F.try_parse_json("value").alias("rec"))
+    bad = t.where("rec IS NULL").select("path", F.substring("line", 1, 80).alias("line")).limit(1).collect()
+    if bad:
+        raise ValueError(f"Invalid JSON in {bad[0].path}: {bad[0].line!r}")
+    return t.select("line", "rec")
+
+
 def sidecar(spark: SparkSession, path: str) -> DataFrame:
     """Sidecar lines, leniently: unreadable lines and lines without session are skipped."""
     return spark.read.schema(schemas.SIDECAR).option("mode", "DROPMALFORMED").json(path).where("coalesce(session_id, '') <> ''")

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import ingest
+from ..session import exists
 
 
 def sessions_of(batch: DataFrame) -> DataFrame:
@@ -24,7 +23,7 @@ def run(spark: SparkSession, source: str, manifest_path: str, checkpoint: str) -
 
     def write(batch: DataFrame, epoch: int) -> None:
         new = sessions_of(batch)
-        if os.path.exists(manifest_path):
+        if exists(spark, manifest_path):
             new = new.join(spark.read.parquet(manifest_path).select("session_id").distinct(), "session_id", "left_anti")
         new.write.mode("append").parquet(manifest_path)
 

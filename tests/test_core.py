@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestream.functions import frontmatter as fm
-from lodestream.operators import chunking, compaction, drift, graph, ingest, nested, ordered, provider, reconcile, records, retrieval
+from lodestream.operators import chunking, compaction, drift, extraction, graph, ingest, nested, ordered, provider, reconcile, records, retrieval
 from lodestream.session import table
 from lodestream.sources import files, sinks
 from lodestream.streaming import ingest as stream_ingest
@@ -298,3 +298,111 @@ def test_predecessor(spark):
 def test_vector_topk_empty_and_zero(spark, small):
     v = table(spark, small, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
     assert retrieval.cosine_topk(v, v.limit(0)).count() == 0
+
+
+def test_vector_topk_in_blocks_against_brute_force(spark):
+    r = random.Random(5)
+    data = [(i, [r.gauss(0, 1) for _ in range(4)]) for i in range(60)] + [(90, None), (91, [0.0] * 4)]
+    df = spark.createDataFrame(data, "id long, vec array<float>")
+    got = {(x.query_id, x.rank): (x.id, x.score) for x in retrieval.cosine_topk(df, df.where("id % 10 = 0"), 3, 0.5, block=7).collect()}
+    vs = {i: v for i, v in data if v and any(v)}
+    import numpy as np
+
+    v32 = {i: np.array(v, dtype=np.float32).astype(float) for i, v in vs.items()}
+    want = {}
+    for q in range(0, 60, 10):
+        s = sorted((-round(float(v32[q] @ v / np.linalg.norm(v32[q]) / np.linalg.norm(v)), 4), i) for i, v in v32.items() if i != q)
+        want |= {(q, k + 1): (i, -c) for k, (c, i) in enumerate(s[:3]) if -c >= 0.5}
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()} and all(abs(got[k][1] - want[k][1]) < 2e-4 for k in want)
+
+
+def test_posting_index_grows_and_equals_the_search_without_it(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "cold cache queue"), (2, "queue of the stale cache"), (3, None), (4, "nothing here"), (5, "Cache, cache!")], "id long, text string")
+    asked = spark.createDataFrame([(5, "stale cache"), (9, "absent words")], "id long, text string")
+    index = retrieval.PostingIndex(spark, str(tmp_path / "i"), buckets=4)
+    assert index.refresh(docs.where("id < 3")) and index.refresh(docs) and not index.refresh(docs)
+    assert rows(index.search(asked)) == rows(retrieval.bm25(docs, asked)) and index.search(asked).count() == 2
+
+
+def test_cluster_members_take_the_reverse_score(spark):
+    comp = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (4, 4), (5, 5)], "id long, cluster long")
+    new = spark.createDataFrame([(2,), (5,), (2,)], "id long")
+    scores = spark.createDataFrame([(2, 1, 0.0), (1, 2, 0.81239), (3, 2, 0.9)], "src long, dst long, score double")
+    assert rows(graph.members(comp, new, scores)) == sorted([(1, 1, False, 0.812), (1, 2, True, None), (1, 3, False, 0.9), (5, 5, True, None)], key=repr)
+    rec = graph.records(comp, new)
+    assert rows(rec.select("cluster_id", "size", "n_triggers")) == [("c001", 3, 1), ("c003", 1, 1)]
+    names = spark.createDataFrame([(1, "one", "text"), (2, "two", "more")], "id long, name string, text string")
+    block = [r.line for r in reconcile.cluster_blocks(rec, graph.members(comp, new, scores), names).where("cluster_id = 'c001'").orderBy("line_no").collect()]
+    assert "\n".join(block) == "=== CLUSTER c001 ===\n--- ENTRY: one (score 0.812) ---\ntext\n\n--- ENTRY: two ---\nmore\n\n--- ENTRY: 3 (score 0.900) ---\n(entry file not found: 3.md)\n"
+
+
+def test_merged_and_retired_documents(spark):
+    m = spark.createDataFrame([(1, 1, "same", "en", "s"), (1, 2, "same", "de", "t"), (1, 3, "same", None, None)], "cluster long, id long, text string, label string, origin string")
+    p = reconcile.judge(m)
+    doc = "---\nid: {}\ntopics: [{}]\nsource_sessions: [{}]\n---\n\n# T\n\nbody \n\n"
+    e = [(1, "a", doc.format("a", "x", "s1"), ["x"], ["s1"]), (2, "b", doc.format("b", "w, x", "s3"), ["w", "x"], ["s3", "s1"]), (3, "c", doc.format("c", "", ""), [], [])]
+    entries = spark.createDataFrame(e, "id long, name string, text string, topics array<string>, sessions array<string>")
+    [r] = reconcile.merged_documents(p, m, entries).collect()
+    assert r.document == (
+        "---\nid: a\ntopics: [w, x]\nsource_sessions: [s1, s3]\n---\n\n# T\n\nbody\n\n## Evidence (merged from)\n\n### From `b` (sessions: [s3, s1])\n\n_Merged into `a` by reconcile._"
+        "\n\n### From `c` (sessions: [])\n\n_Merged into `a` by reconcile._\n"
+    )
+    out = {x.id: x.document for x in reconcile.retired_documents(reconcile.retired(p, m), entries, entries, "now").collect()}
+    assert set(out) == {2, 3} and out[3] == "---\nid: c\ntopics: []\nsource_sessions: []\nsuperseded_by: a\nretired_reason: duplicate: 3 members of cluster 1\nretired_at: now\n---\n\n# T\n\nbody \n\n"
+    again = spark.createDataFrame([(1, i, t, "x", "") for i, t in enumerate(["k", "k", "z", "y"], 1)] + [(9, i, t, "x", "") for i, t in enumerate("abcd", 9)], m.schema)
+    assert {(x.cluster, x.action) for x in reconcile.second_pass(reconcile.judge(again), again).collect()} == {(1, "duplicate"), (9, "related")}
+    assert {x.action for x in reconcile.second_pass(reconcile.judge(again), again.limit(0)).collect()} == {"subagent-needed"}
+
+
+def test_records_keep_line_numbers_over_splits(spark, tmp_path):
+    lines = [json.dumps({"n": i, "pad": "x" * (i % 50)}) + ("\r" if i % 9 == 0 else "") if i % 7 else "" for i in range(3_000)]
+    (tmp_path / "a.jsonl").write_bytes("\n".join(lines).encode())
+    (tmp_path / "b.jsonl").write_bytes(b"{}\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    try:
+        got = files.records(spark, str(tmp_path))
+        a = {r.line_no: r.raw for r in got.where("path LIKE '%a.jsonl'").collect()}
+        assert got.rdd.getNumPartitions() >= 1 and a == {i: x for i, x in enumerate(lines) if x} and got.where("path LIKE '%b.jsonl'").count() == 1
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_document_sinks(spark, tmp_path):
+    entries, gone = str(tmp_path / "e"), str(tmp_path / "r")
+    docs = spark.createDataFrame([("a", "1"), ("b", "2"), ("b", "3")], "name string, text string")
+    sinks.put_documents(docs, entries, dry_run=True)
+    with pytest.raises(FileNotFoundError):
+        sinks.current(spark, entries)
+    sinks.put_documents(docs, entries)
+    assert rows(sinks.put_documents(spark.createDataFrame([("a", "9"), ("c", "4")], docs.schema), entries)) == [("a", "9"), ("b", "3"), ("c", "4")]
+    assert rows(sinks.retire(docs.where("text = '3'"), entries, gone)) == [("a", "9"), ("c", "4")] and rows(sinks.current(spark, gone)) == [("b", "3")]
+    with pytest.raises(KeyError):
+        sinks.retire(docs.where("text = '3'"), entries, gone)
+    silver = str(tmp_path / "s")
+    part = lambda *x: spark.createDataFrame([x], "silver_path string, part_index int, section string")
+    assert rows(sinks.append_silver(part("d", 1, "one é"), silver)) == [("d", "one é", 0)]
+    sinks.append_silver(part("other", 1, "x"), silver)
+    assert rows(sinks.append_silver(part("d", 2, "two\n"), silver)) == [("d", "one é\n\ntwo\n", 6)] and sinks.current(spark, silver).count() == 2
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / "s1.jsonl").write_bytes(b'{"a":1}\r\nx')
+    found = files.sessions(spark, str(tmp_path / "p"))
+    sinks.copy_bronze(spark, str(tmp_path / "p"), found, str(tmp_path / "bronze"), "cli")
+    assert [(r.session_id, bytes(r.content), r.harness) for r in spark.read.parquet(str(tmp_path / "bronze")).collect()] == [("s1", b'{"a":1}\r\nx', "cli")]
+    cut = spark.createDataFrame([("s", 1, 1, "b"), ("s", 1, 0, "a"), ("s", 2, 2, "c")], "session_id string, part_index int, line_no int, raw string")
+    assert rows(sinks.write_parts(cut, str(tmp_path / "parts"))) == [("s_part_01", 1, "a\nb\n"), ("s_part_02", 2, "c\n")]
+    sinks.write_lines(cut, str(tmp_path / "c"))
+    assert files.clusters(spark, str(tmp_path / "c")).count() == 3
+    (tmp_path / "bad.jsonl").write_text("{}\n{cut\n")
+    with pytest.raises(ValueError, match="cut"):
+        files.clusters(spark, str(tmp_path / "bad.jsonl"))
+    with pytest.raises(FileNotFoundError):
+        files.clusters(spark, str(tmp_path / "none"))
+
+
+def test_outcomes_and_siblings(spark, transcript):
+    t = transcript([{"session_id": "new"}, {"session_id": "known"}, {"session_id": "big", "msg_content": "x" * 50}, {"session_id": "odd", "rec_type": None}, {"session_id": None}])
+    m = spark.createDataFrame([("known_part_01", 1, "silver", "d"), ("known_part_02", 2, "silver", "d"), ("z", None, "silver", None)], "session_id string, part_index int, status string, silver_path string")
+    assert rows(ingest.outcomes(t, m, 20)) == [("big", "skipped_large"), ("known", "skipped_known"), ("new", "ingested"), ("odd", "errors")]
+    done = spark.createDataFrame([("d", ["g1"])], "silver_path string, gold_paths array<string>")
+    assert rows(extraction.propagate(m, done, "now")) == [("known_part_01", "gold", "now", ["g1"], None), ("known_part_02", "gold", "now", ["g1"], None)]

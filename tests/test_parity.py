@@ -8,9 +8,6 @@ import pytest
 
 from lodestream.plans import registry
 
-SLOW = {"clusters_cc", "noop_actions", "apply_all_exist", "judge_prompt_size", "rejudge_lookup", "approved_actions"}
-
-
 def norm(v):
     return round(v, 6) if isinstance(v, float) else tuple(map(norm, v)) if isinstance(v, list) else v
 
@@ -23,7 +20,7 @@ def duck(small):
     return c
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_parity(spark, small, duck, name):
     df = registry.queries()[name](spark, small)
     cols = sorted(df.columns)
