@@ -123,7 +123,7 @@ _RUN = re.compile(rf"(?<![\w.@/\\\-'’])(?:{_CAP}|[A-ZÀ-Þ]\.)(?:{_JOIN}(?:{_C
 _RUN_WORD = re.compile(rf"{_CAP}|[A-ZÀ-Þ]\.")
 _COMMA = re.compile(rf"(?<![\w.@/\\\-'’])({_CAP}|[A-ZÀ-Þ]{{3,}}), ({_CAP}|[A-ZÀ-Þ]{{3,}})(?: [A-ZÀ-Þ]\.)?(?![\w@(/\\])")
 _CAPITALS = re.compile(r"(?<![\w.@/\\\-'’])[A-ZÀ-Þ]{3,}(?:-[A-ZÀ-Þ]+)?(?: [A-ZÀ-Þ]\.)? [A-ZÀ-Þ]{3,}(?:-[A-ZÀ-Þ]+)?(?![\w@(/\\=:])")
-_ANNOUNCED = re.compile(rf"(?i:\b{PERSON_CUE}\b)[\"']?\s?[:=]?\s?[\"'(<]?({_L}{{3,}})(, | )({_L}{{3,}})(?![\w@(/\\.=])")
+_ANNOUNCED = re.compile(rf"\b{PERSON_CUE}\b[\"']?\s?[:=]?\s?[\"'(<]?({_L}{{3,}})(, | )({_L}{{3,}})(?![\w@(/\\.=])")
 
 
 def names_in(text: str, folded: str, spelt: dict[str, tuple[float, float]]) -> Iterator[tuple[int, int, str]]:
@@ -138,9 +138,9 @@ def names_in(text: str, folded: str, spelt: dict[str, tuple[float, float]]) -> I
     for rx, how in ((_COMMA, "comma"), (_CAPITALS, "capitals")):
         for m in rx.finditer(text):
             yield m.start(), m.end(), how
-    for m in _ANNOUNCED.finditer(text):
-        rare = [spelt.get(w.lower().translate(FOLD), (17.0, 17.0)) for w in (m[1], m[3])]
-        if m[1].islower() and m[3].islower() and all(lower >= title or lower > 15 for lower, title in rare):
+    for m in _ANNOUNCED.finditer(folded):
+        rare = [spelt.get(w, (17.0, 17.0)) for w in (m[1], m[3])]
+        if all(lower >= title or lower > 15 for lower, title in rare) and text[m.start(1) : m.end(3)].islower():
             yield m.start(1), m.end(3), "announced"
     for end, name in given_names().iter(folded):
         s, e = end - len(name) + 1, end + 1
@@ -174,12 +174,15 @@ def _around(rx: re.Pattern, text: str, at: int, left: int, right: int) -> re.Mat
 def candidates(text: str, spelt: dict[str, tuple[float, float]]) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, generator) of all proposals; they may overlap. Cheap marks are sought first, the forms only near them."""
     out: list[tuple[int, int, str, str]] = []
+    n_text = len(text)
     at = text.find("@")
     while at >= 0:
         if (m := _around(_MAIL, text, at, 80, 120)) and not _IN_URL.search(text, max(0, m.start() - 80), m.start()):
             out.append((m.start(), m.end(), "email", "plain"))
         at = text.find("@", max(at + 1, m.end() if m else 0))
     low = text.lower()
+    if len(low) != n_text:  # a letter whose lower case is two: places must stay
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
     if any(x in low for x in _AT_WORDS) or " at " in low and _AT_DOT.search(low):
         for mark in _AT_MARK.finditer(text):
             if m := _around(_MAIL_WORDS, text, mark.start(), 80, 160):
