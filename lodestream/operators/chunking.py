@@ -33,18 +33,21 @@ def lines(transcripts: DataFrame) -> DataFrame:
 def _folded(turns: DataFrame) -> DataFrame:
     """Parts of sessions of few turns: (session_id, part_index, first_rec, last_rec, part_bytes)."""
     per = turns.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("turn_no", "b", "first", "last"))).alias("turns"), F.first("target").alias("_target"), F.first("parts").alias("_parts"))
-    # State: parts begun, bytes of the open part, and the turns at which a part begins.
-    state = F.struct(F.lit(1).cast("long").alias("part"), F.lit(0).cast("long").alias("cur"), F.array().cast("array<bigint>").alias("part_of"))
+    # State: the parts that are closed and the open one, so that no turn is looked at again.
+    row = "struct<first_rec:bigint,last_rec:bigint,part_bytes:bigint>"
+    none = F.lit(None).cast("long")
+    state = F.struct(F.lit(0).cast("long").alias("cur"), none.alias("first"), none.alias("last"), F.array().cast(f"array<{row}>").alias("closed"))
+    ended = lambda s: F.struct(s["first"].alias("first_rec"), s["last"].alias("last_rec"), s["cur"].alias("part_bytes")).cast(row)
 
     def fold(s, t):
-        cut = (s["cur"] >= F.col("_target")) & (s["part"] < F.col("_parts"))
-        part = s["part"] + cut.cast("long")
-        return F.struct(part.alias("part"), (F.when(cut, F.lit(0)).otherwise(s["cur"]) + t["b"]).cast("long").alias("cur"), F.when(cut, F.array_append(s["part_of"], t["turn_no"])).otherwise(s["part_of"]).alias("part_of"))
-
-    starts = per.withColumn("_starts", F.aggregate("turns", state, fold)["part_of"])
-    each = starts.select("session_id", "_starts", F.explode("turns").alias("t"))
-    part = F.size(F.filter("_starts", lambda x: x <= F.col("t.turn_no"))) + 1
-    return each.withColumn("part_index", part.cast("long")).groupBy("session_id", "part_index").agg(F.min("t.first").alias("first_rec"), F.max("t.last").alias("last_rec"), F.sum("t.b").alias("part_bytes"))
+        cut = (s["cur"] >= F.col("_target")) & (F.size(s["closed"]) + 1 < F.col("_parts"))
+        return F.struct(
+            (F.when(cut, F.lit(0)).otherwise(s["cur"]) + t["b"]).cast("long").alias("cur"), F.when(cut, t["first"]).otherwise(F.least(s["first"], t["first"])).alias("first"),
+            F.when(cut, t["last"]).otherwise(F.greatest(s["last"], t["last"])).alias("last"), F.when(cut, F.array_append(s["closed"], ended(s))).otherwise(s["closed"]).alias("closed"),
+        )
+
+    parts = per.select("session_id", F.posexplode(F.aggregate("turns", state, fold, lambda s: F.array_append(s["closed"], ended(s)))))
+    return parts.select("session_id", (F.col("pos") + 1).cast("long").alias("part_index"), "col.*")
 
 
 def _next_cuts(turns: DataFrame) -> DataFrame:

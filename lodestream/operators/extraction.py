@@ -40,6 +40,17 @@ def entry_documents(gold: DataFrame) -> DataFrame:
     return gold.select("entry_no", F.col("id").alias("name"), F.concat(F.lit("---\n"), F.concat_ws("\n", *rows), F.lit("\n---\n\n"), body, F.lit("\n")).alias("text"))
 
 
+def parse_entries(docs: DataFrame) -> DataFrame:
+    """What a search and the clustering need of entry documents (name, text): (name, id, title, entry_type, topics, agents, thread_id, body). The id falls back to the file's name, the title to the id."""
+    d = docs.select("name", fm.pairs(F.col("text")).alias("kv"), fm.body(F.col("text")).alias("body"))
+    get = lambda k: fm.scalar(F.element_at("kv", k))
+    ident = F.coalesce(get("id"), F.col("name"))
+    return d.select(
+        "name", ident.alias("id"), fm.title(F.col("body"), ident).alias("title"), get("type").alias("entry_type"), fm.items(F.element_at("kv", "topics")).alias("topics"),
+        fm.items(F.element_at("kv", "agents")).alias("agents"), get("thread_id").alias("thread_id"), "body",
+    )
+
+
 def visible(gold: DataFrame) -> DataFrame:
     """The first row of each id that no entry supersedes: what a search may return."""
     retired = gold.select(F.explode("supersedes").alias("id")).where("id <> ''").distinct()

@@ -107,6 +107,14 @@ def subagent_meta(meta: DataFrame) -> DataFrame:
     return meta.select("session_id", "parent_session_id", get("agentType").alias("agent"), F.substring(get("description"), 1, 500).alias("agent_task"))
 
 
+def subagent_sessions(transcripts: DataFrame, meta: DataFrame) -> DataFrame:
+    """The sessions of subagents with what their metadata say: (session_id, parent_session_id, agent, agent_task, n_rows); a session without metadata has NULLs, of several the first parent's hold."""
+    known = subagent_meta(meta).groupBy("session_id").agg(F.min(F.struct("parent_session_id", "agent", "agent_task")).alias("m")).select("session_id", "m.*")
+    some = transcripts.where("session_id IS NOT NULL").groupBy("session_id").agg(F.min("parent_session_id").alias("_p"), F.count("*").alias("n_rows"))
+    both = some.join(known, "session_id", "left").where("_p IS NOT NULL OR parent_session_id IS NOT NULL")
+    return both.select("session_id", F.coalesce("parent_session_id", "_p").alias("parent_session_id"), "agent", "agent_task", "n_rows")
+
+
 def manifest_latest(manifest: DataFrame) -> DataFrame:
     """The row that holds of each manifest key: rows appended later supersede; the latest stage time decides, then the status."""
     order = F.struct(F.greatest(*[F.coalesce(c, F.lit("")) for c in ("ingested_at", "compacted_at", "extracted_at")]), "status", F.coalesce("bronze_size_bytes", F.lit(-1)))

@@ -186,7 +186,15 @@ def _vectors(s, d):
 
 
 def _answers(s, d):
-    return extraction.as_block(G(s, d))
+    """Answers as a model gives them: some are cut off before the end mark, lack the id, or talk before the block."""
+    a = F.col("answer")
+    cut = F.when(F.col("entry_no") % 17 == 0, F.regexp_replace(a, extraction.END, "")).when(F.col("entry_no") % 19 == 0, F.regexp_replace(a, r"(?m)^id: .*$", "note: x")).when(F.col("entry_no") % 3 == 0, F.concat(F.lit("Here it is:\n"), a)).otherwise(a)
+    return extraction.as_block(G(s, d)).withColumn("answer", cut)
+
+
+def _parsed(s, d):
+    p = extraction.parse_entries(_names(s, d)).withColumnRenamed("name", "file_name")
+    return p.select("file_name", "id", "title", "entry_type", F.array_join("topics", "|").alias("topics"), F.array_join("agents", "|").alias("agents"), "thread_id")
 
 
 def _read_path(s, d):
@@ -239,6 +247,7 @@ QUERIES = {
     "incremental_new": lambda s, d: _new(s, d).select("entry_no", "id"),
     "index_visible": lambda s, d: extraction.visible(G(s, d)).select("entry_no", "id"),
     "entry_documents": lambda s, d: _names(s, d).select("id", "name", F.md5("text").alias("digest")),
+    "entry_parse": _parsed,
     "vector_topk": lambda s, d: retrieval.cosine_topk(_vectors(s, d), _vectors(s, d).where("id % 100 = 0"), threshold=VECTOR_SCORE),
     "bm25_topk": _bm25,
     "bm25_index": _indexed,
@@ -329,6 +338,7 @@ ORACLE = {
 SELECT session_id, concat('<prior-silver>', chr(10), coalesce(t, ''), chr(10), '</prior-silver>', chr(10), chr(10), printf('<part-info>part_index=%d total_parts=%d</part-info>', part_index, coalesce(total_parts, part_index)), chr(10), chr(10), '<bronze-part>', chr(10), coalesce(bronze_path, ''), chr(10), '</bronze-part>') AS input FROM latest LEFT JOIN fr USING (silver_path) WHERE coalesce(part_index, 1) > 1""",
     "sibling_gold": f"WITH {LATEST}, g AS (SELECT silver_path, arg_max(session_id, printf('%06d', coalesce(part_index, 0)) || session_id) AS canonical FROM latest WHERE status = 'silver' AND coalesce(silver_path, '') <> '' GROUP BY 1) SELECT session_id, 'gold' AS status, '{NOW}' AS extracted_at, 'gold/' || canonical AS gold_paths, CAST(NULL AS VARCHAR) AS error FROM latest JOIN g USING (silver_path) WHERE status = 'silver'",
     "entry_documents": f"WITH {FIRST} SELECT entry_no AS id, id AS name, md5({DOCUMENT}) AS digest FROM first",
+    "entry_parse": f"WITH {FIRST} SELECT id AS file_name, trim(id) AS id, {TITLE} AS title, nullif(nullif(entry_type, ''), 'null') AS entry_type, array_to_string(list_filter(list_transform(topics, lambda x: trim(x)), lambda x: x <> ''), '|') AS topics, array_to_string(list_filter(list_transform(agents, lambda x: trim(x)), lambda x: x <> ''), '|') AS agents, nullif(nullif(thread_id, 'null'), '') AS thread_id FROM first",
     "clusters_gold": f"WITH RECURSIVE {GCC} SELECT * FROM comp",
     "cluster_records": f"WITH RECURSIVE {GREC} SELECT * FROM rec",
     "cluster_members": f"WITH RECURSIVE {GREC} SELECT * FROM gm",
@@ -363,7 +373,7 @@ SELECT doc_id, md5('---' || chr(10) || array_to_string(h, chr(10)) || chr(10) ||
     "query_text": f"SELECT entry_no, {QTEXT} AS query_text FROM gold_entries",
     "thread_ids": "SELECT session_id, CASE WHEN project_id IS NULL OR branch IS NULL OR starts_with(branch, 'DETACHED@') THEN NULL ELSE substr(sha1(project_id || ':' || branch), 1, 16) END AS thread_id FROM sidecar",
     "id_collision": "SELECT entry_no, id, first_no FROM (SELECT entry_no, id, min(entry_no) OVER (PARTITION BY id) AS first_no FROM gold_entries WHERE id IS NOT NULL) WHERE entry_no > first_no",
-    "llm_output_split": "SELECT entry_no, trim(id) AS id, entry_type, array_to_string(list_filter(list_transform(topics, lambda x: trim(x)), lambda x: x <> ''), '|') AS topics, CAST(query_count AS BIGINT) AS query_count, trim(summary) AS body FROM gold_entries WHERE summary IS NOT NULL AND coalesce(trim(id), '') <> '' AND coalesce(entry_type, '') <> ''",
+    "llm_output_split": "SELECT entry_no, trim(id) AS id, entry_type, array_to_string(list_filter(list_transform(topics, lambda x: trim(x)), lambda x: x <> ''), '|') AS topics, CAST(query_count AS BIGINT) AS query_count, trim(summary) AS body FROM gold_entries WHERE summary IS NOT NULL AND coalesce(trim(id), '') <> '' AND coalesce(entry_type, '') <> '' AND entry_no % 17 <> 0 AND entry_no % 19 <> 0",
     "owned_fields": f"SELECT entry_no, array_to_string(source_sessions[1:1], '|') AS source_sessions, CASE WHEN len(projects) > 0 AND projects[1] <> 'unknown' THEN projects[1] ELSE array_to_string(projects, '|') END AS projects, '{TODAY}' AS created, '{TODAY}' AS last_validated, CAST(0 AS BIGINT) AS query_count, 'medium' AS confidence, array_to_string(coalesce(supersedes, []), '|') AS supersedes, nullif(thread_id, 'null') AS thread_id FROM gold_entries",
     "extract_prompt_meta": f"WITH {LATEST} SELECT session_id, concat_ws(chr(10), "
     + ", ".join(f"CASE WHEN coalesce({c}, '') NOT IN ('', 'null') THEN '{k}: ' || {c} END" for k, c in (("session_id", "session_id"), ("project", "coalesce(project, project_hash)"), ("agent", "agent"), ("cwd", "cwd"), ("git_branch", "git_branch"), ("thread_id", "thread_id")))

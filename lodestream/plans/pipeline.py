@@ -41,6 +41,7 @@ QUERIES = {
     "sidecar_gate": lambda s, d: ingest.gate(T(s, d), SC(s, d), DAY),
     "new_sessions_anti": lambda s, d: ingest.new_sessions(T(s, d), M(s, d)),
     "subagent_meta": lambda s, d: ingest.subagent_meta(table(s, d, "subagent_meta")),
+    "subagent_sessions": lambda s, d: ingest.subagent_sessions(T(s, d), table(s, d, "subagent_meta")),
     "memory_queries": lambda s, d: M(s, d).where(ingest.memory_query(F.col("agent"))).select("session_id", "agent"),
     "manifest_update": lambda s, d: _latest(s, d).select("session_id", "status", "bronze_size_bytes", "silver_path"),
     "compact_eligible": lambda s, d: _latest(s, d).where(compaction.eligible()).select("session_id", "bronze_size_bytes", "part_index"),
@@ -81,6 +82,9 @@ SELECT session_id, nullif(arg_max(coalesce(agent_name, ''), rec_id) FILTER (rec_
     "new_sessions_anti": f"SELECT session_id, count(*) AS n_rows FROM transcripts WHERE session_id IS NOT NULL AND session_id NOT IN (SELECT {LOGICAL} FROM manifest WHERE session_id IS NOT NULL) GROUP BY 1",
     "subagent_meta": """WITH m AS (SELECT *, CASE WHEN json_valid(raw_meta) AND json_type(raw_meta) = 'OBJECT' THEN raw_meta END AS j FROM subagent_meta)
 SELECT session_id, parent_session_id, nullif(j ->> '$.agentType', '') AS agent, substr(nullif(j ->> '$.description', ''), 1, 500) AS agent_task FROM m""",
+    "subagent_sessions": """WITH m AS (SELECT *, CASE WHEN json_valid(raw_meta) AND json_type(raw_meta) = 'OBJECT' THEN raw_meta END AS j FROM subagent_meta), k AS (SELECT session_id, parent_session_id AS p, nullif(j ->> '$.agentType', '') AS agent, substr(nullif(j ->> '$.description', ''), 1, 500) AS agent_task FROM m QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY p NULLS FIRST, agent NULLS FIRST, agent_task NULLS FIRST) = 1),
+t AS (SELECT session_id, min(parent_session_id) AS tp, count(*) AS n_rows FROM transcripts WHERE session_id IS NOT NULL GROUP BY 1)
+SELECT session_id, coalesce(p, tp) AS parent_session_id, agent, agent_task, n_rows FROM t LEFT JOIN k USING (session_id) WHERE tp IS NOT NULL OR p IS NOT NULL""",
     "memory_queries": "SELECT session_id, agent FROM manifest WHERE contains(lower(agent), 'memory')",
     "manifest_update": f"WITH {LATEST} SELECT session_id, status, bronze_size_bytes, silver_path FROM latest",
     "compact_eligible": f"WITH {LATEST} SELECT session_id, bronze_size_bytes, part_index FROM latest WHERE {ELIGIBLE}",
