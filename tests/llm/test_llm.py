@@ -391,6 +391,29 @@ def test_conversations_against_brute_force(spark, transcript, tmp_path):
     assert conversations.rejected(conversations.segments(spark, empty)).count() == 0
 
 
+def test_late_rows_over_several_micro_batches(spark, transcript, tmp_path):
+    src, root = str(tmp_path / "t"), str(tmp_path / "c")
+
+    def run(*given):
+        transcript([{"session_id": s, "uuid": u, "rec_ts": t, "rec_type": k, "msg_role": None, "msg_content": text(u)} for s, u, t, k in given]).coalesce(1).write.mode("append").parquet(src)
+        conversations.run_stream(conversations.facts(spark.readStream.schema(spark.read.parquet(src).schema).parquet(src)), root, "1 day")
+
+    def emitted():
+        out = spark.read.schema(conversations.OUT).parquet(f"{root}/out")
+        return sorted((r.session_id, str(r.day), [*r.uuids]) for r in out.where("session_id <> 'close'").collect())
+
+    run(("a", "a1", "2024-09-01T10:00:00Z", "user"))
+    run(("b", "b1", "2024-09-02T08:00:00Z", "user"))  # the watermark comes to 09-01 08:00
+    run(("a", "a0", "2024-09-01T09:00:00Z", "user"), ("a", "a2", "2024-09-01T10:05:00Z", "assistant"))  # late, but not too late
+    assert emitted() == []
+    run(("b", "b2", "2024-09-05T00:00:00Z", "assistant"))  # it comes to 09-04: both days are closed
+    run(("a", "a9", "2024-09-01T11:00:00Z", "user"), ("close", "x", "2024-10-01T00:00:00Z", "user"))  # a9 is behind the watermark
+    run(("close", "y", "2024-12-01T00:00:00Z", "user"))
+    assert emitted() == [("a", "2024-09-01", ["a0", "a1", "a2"]), ("b", "2024-09-02", ["b1"]), ("b", "2024-09-05", ["b2"])]
+    segs = spark.read.schema(conversations.OUT).parquet(f"{root}/out").where("session_id <> 'close'")
+    assert rows(conversations.rejected(segs)) == [("a", "no_reply")] and [r.uuid for r in conversations.kept(segs).where("session_id = 'b'").orderBy("turn_no").collect()] == ["b1", "b2"]
+
+
 # ---- 5
 
 
