@@ -22,10 +22,11 @@ Defined results: NULL texts and texts under ``MIN_LEN`` characters share nothing
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -314,9 +315,26 @@ def spelt_out(members: DataFrame, places: bool) -> DataFrame:
     )
 
 
+@contextmanager
+def bloom_filtered(spark: SparkSession) -> Iterator[None]:
+    """Let Spark filter the larger side of a join by a Bloom filter of the smaller one's keys (8 MB at most) at any size; the settings are put back."""
+    wanted = {"applicationSideScanSizeThreshold": "0", "creationSideThreshold": "1GB"}
+    names = {f"spark.sql.optimizer.runtime.bloomFilter.{k}": v for k, v in wanted.items()}
+    before = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def hits(docs: DataFrame, copied: DataFrame, places: bool = False) -> DataFrame:
     """A place of MIN_LEN shared characters for each pair of representatives that shares any; ``places`` as in ``spelt_out``."""
-    win = materialize(windows(docs, heads(materialize(seeds(docs), "seeds"), copied)), "windows")
+    at = materialize(heads(materialize(seeds(docs), "seeds"), copied), "places").where(F.size("places") > 0)
+    with bloom_filtered(docs.sparkSession):  # of the texts only those with a place are shuffled
+        win = materialize(windows(docs, at), "windows")
     n = win.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("key", "n")
     shared = win.join(n, "key")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
@@ -351,6 +369,11 @@ def pairs(docs: DataFrame) -> DataFrame:
     return found.unionByName(star).unionByName(within).unionByName(spread).distinct()
 
 
+def members(docs: DataFrame) -> DataFrame:
+    """Membership of the classes of exact copies that ``pairs`` writes as (representative, copy): (doc_id, rep, n_copies) of all texts with copies."""
+    return copies(docs)
+
+
 def shares(docs: DataFrame) -> DataFrame:
     """Per document the number and characters of its shared stretches, and the share of its text that they make up.
 
