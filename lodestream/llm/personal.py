@@ -20,6 +20,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from functools import lru_cache
 
 import numpy as np
@@ -415,7 +416,8 @@ def fitted(spark: SparkSession, vocabulary: str = VOCABULARY, n: int = TRAIN_TEX
             saved = [json.loads(r[0]) for r in spark.read.text(path).collect()]  # two rows
             _FITTED[key] = tuple(Trees.from_json(t) for t in sorted(saved, key=lambda t: "cwd" in t["thresholds"]))
         else:
-            _FITTED[key] = train(spark, vocabulary, n), train_paths(spark, vocabulary, n)
+            with ThreadPoolExecutor(2) as pool:  # two fits of many small jobs each, side by side
+                _FITTED[key] = tuple(f.result() for f in [pool.submit(fit, spark, vocabulary, n) for fit in (train, train_paths)])
             spark.createDataFrame([(json.dumps(t.to_json()),) for t in _FITTED[key]], "value string").coalesce(1).write.mode("overwrite").text(path)
     return _FITTED[key]
 

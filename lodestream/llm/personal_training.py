@@ -87,12 +87,12 @@ def _name(r: random.Random) -> str:
     return s.upper() if r.random() < 0.05 else s
 
 
-def _thing(r: random.Random, plain: list[str]) -> str:
+def _thing(r: random.Random, plain: list[str], doers: list[str]) -> str:
     """Two capitalised words that are no person: a system, a heading, a place."""
     word = lambda: r.choice(plain).capitalize()
     form = r.random()
     if form < 0.4:  # a system named after somebody or something, by what it does
-        tail = word() if r.random() < 0.5 else r.choice([w for w in plain if re.search(r"(?:er|or|ing|ment|ion|ce)$", w)]).capitalize()
+        tail = word() if r.random() < 0.5 else r.choice(doers).capitalize()
         return f"{r.choice((_first(r), _surname(r), r.choice(_SURNAMES).capitalize(), word()))} {tail}"
     if form < 0.65:
         return f"{word()} {word()}"
@@ -161,7 +161,7 @@ def _address(r: random.Random) -> str:
     ))
 
 
-def _fill(r: random.Random, template: str, plain: list[str]) -> tuple[str, list[tuple[int, int, str]]]:
+def _fill(r: random.Random, template: str, plain: list[str], doers: list[str]) -> tuple[str, list[tuple[int, int, str]]]:
     text, spans, at = "", [], 0
     personal = {"E": _mail, "P": _phone, "A": _address, "N": _name, "S": _ssn, "J": _passport}
     kinds = {"E": "email", "P": "phone", "A": "address", "N": "person_name"}
@@ -173,7 +173,7 @@ def _fill(r: random.Random, template: str, plain: list[str]) -> tuple[str, list[
         elif k in personal:
             v = personal[k](r)
         elif k == "T":
-            v = _thing(r, plain)
+            v = _thing(r, plain, doers)
         else:
             v = {"w": lambda: r.choice(_WORDS if r.random() < 0.3 else plain), "v": lambda: r.choice(_VERBS), "h": lambda: "%08x" % r.getrandbits(32), "u": lambda: "".join(r.choice("ABCDEFGHJK234567") for _ in range(16))}.get(k, lambda: _digits(r, int(k[1])))()  # noqa: B023
         text += lead
@@ -186,10 +186,11 @@ def _fill(r: random.Random, template: str, plain: list[str]) -> tuple[str, list[
 def make(n: int, seed: int, plain: list[str]) -> Iterator[tuple[str, list[tuple[int, int, str]]]]:
     """``n`` texts of one to three sentences with the places of their planted spans; the same for the same seed. ``plain``: words that are commoner in lower case."""
     r = random.Random(seed)
+    doers = [w for w in plain if re.search(r"(?:er|or|ing|ment|ion|ce)$", w)]
     for _ in range(n):
         text, spans = "", []
         for _ in range(r.randint(1, 3)):
-            t, s = _fill(r, r.choice(POSITIVE if r.random() < 0.55 else NEGATIVE), plain)
+            t, s = _fill(r, r.choice(POSITIVE if r.random() < 0.55 else NEGATIVE), plain, doers)
             spans += [(a + len(text), b + len(text), k) for a, b, k in s]
             text += t + r.choice((" ", "\n"))
         yield text, spans
