@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import frontmatter as fm
 from ..operators import compaction, extraction, graph, ingest, provider, reconcile, retrieval
-from ..session import materialize, shared_path, table
+from ..session import hinted, materialize, shared_path, table
 from . import pipeline
 
 
@@ -24,15 +24,12 @@ def _latest(s, d):
     return ingest.manifest_latest(M(s, d))
 
 
-def _distinct(docs):
-    """One row per distinct text of (id, text): (id, text)."""
-    return docs.where(r"text RLIKE '\\S'").groupBy("text").agg(F.min("id").alias("id")).select("id", "text")
-
-
 def _similar(docs):
     """Similar pairs of distinct texts, and each copy with the least row of its text."""
-    copies = graph.stars(docs.where(r"text RLIKE '\\S'").select("id", F.md5("text").alias("digest")), "digest", "id").withColumn("score", F.lit(1.0))
-    return retrieval.similar(_distinct(docs)).unionByName(copies)
+    docs = docs.where(r"text RLIKE '\\S'")
+    copies = materialize(graph.stars(docs.select("id", F.md5("text").alias("digest")), "digest", "id"), "copies")
+    firsts = docs.join(hinted(copies.select(F.col("dst").alias("id"))), "id", "left_anti")
+    return retrieval.similar(firsts).unionByName(copies.withColumn("score", F.lit(1.0)))
 
 
 def _edges(s, d):

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def ship(spark: SparkSession) -> None:
@@ -70,3 +71,8 @@ def materialize(df: DataFrame, prefix: str) -> DataFrame:
     path = shared_path(spark, prefix)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def hinted(keys: DataFrame, most: int = 2_000_000) -> DataFrame:
+    """Keys to filter a table of texts by: broadcast if they are few, so that the texts are not shuffled; ``keys`` are counted, so they should be written."""
+    return F.broadcast(keys) if keys.count() <= most else keys

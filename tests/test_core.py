@@ -406,3 +406,29 @@ def test_outcomes_and_siblings(spark, transcript):
     assert rows(ingest.outcomes(t, m, 20)) == [("big", "skipped_large"), ("known", "skipped_known"), ("new", "ingested"), ("odd", "errors")]
     done = spark.createDataFrame([("d", ["g1"])], "silver_path string, gold_paths array<string>")
     assert rows(extraction.propagate(m, done, "now")) == [("known_part_01", "gold", "now", ["g1"], None), ("known_part_02", "gold", "now", ["g1"], None)]
+
+
+def shuffled(spark, act):
+    """(result, records written to shuffles) of an action."""
+    sc = spark.sparkContext
+
+    def written():
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = written()
+    out = act()
+    return out, written() - before
+
+
+def test_similar_shuffles_only_what_partners_must_share(spark):
+    r = random.Random(4)
+    common = [f"c{i}" for i in range(30)]
+    texts = [common + [f"w{r.randrange(10**9)}" for _ in range(90)] for _ in range(150)]
+    texts += [[*t[:60], "changed", *t[61:]] for t in texts[:20]] + [t[:-30] for t in texts[20:30]]
+    sh = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    want = sorted((i, j) for i in range(len(sh)) for j in range(i + 1, len(sh)) if len(sh[i] & sh[j]) / len(sh[i] | sh[j]) >= 0.8)
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "id long, text string")
+    got, n = shuffled(spark, lambda: sorted((x.src, x.dst) for x in retrieval.similar(df).collect()))
+    assert got == want and len(want) == 20 and n < sum(map(len, sh)) / 4
