@@ -147,17 +147,25 @@ def _judged(f):
     return q
 
 
-def _gold_texts(s, d):
-    return extraction.query_text(extraction.first_rows(G(s, d))).select(F.col("entry_no").alias("id"), F.col("query_text").alias("text"))
+def _kept(s, d, keys):
+    """The entries of some (entry_no), found by their keys alone."""
+    return G(s, d).join(hinted(materialize(keys.select("entry_no"), "entries")), "entry_no", "left_semi")
+
+
+def _asked(s, d):
+    """What the entries whose number is divisible by 100 would search with."""
+    keys = extraction.first_rows(G(s, d).select("entry_no", "id")).where("entry_no % 100 = 0")
+    return extraction.query_text(_kept(s, d, keys)).select(F.col("entry_no").alias("id"), F.col("query_text").alias("text"))
 
 
 def _bodies(s, d):
     """What a search may return: entries that are not superseded."""
-    return extraction.visible(G(s, d)).select(F.col("entry_no").alias("id"), F.col("body").alias("text"))
+    keys = extraction.visible(G(s, d).select("entry_no", "id", "supersedes"))
+    return _kept(s, d, keys).select(F.col("entry_no").alias("id"), F.col("body").alias("text"))
 
 
 def _bm25(s, d, k=5):
-    return retrieval.bm25(_bodies(s, d), _gold_texts(s, d).where("id % 100 = 0"), k)
+    return retrieval.bm25(_bodies(s, d), _asked(s, d), k)
 
 
 def _indexed(s, d):
@@ -165,7 +173,7 @@ def _indexed(s, d):
     index, old = retrieval.PostingIndex(s, shared_path(s, "postings")), _new(s, d).select(F.col("entry_no").alias("id"))
     index.refresh(_bodies(s, d).join(old, "id", "left_anti"))
     index.refresh(_bodies(s, d))
-    return index.search(_gold_texts(s, d).where("id % 100 = 0"))
+    return index.search(_asked(s, d))
 
 
 def _hybrid(s, d):
@@ -198,7 +206,7 @@ def _read_path(s, d):
     top = _bm25(s, d, 1)
     g = extraction.first_rows(G(s, d)).select(F.col("entry_no").alias("id"), "confidence", "summary", "staleness_policy", "last_validated")
     days = F.expr("try_cast(regexp_extract(staleness_policy, '^([0-9]+)d$', 1) AS INT)")
-    q = _gold_texts(s, d).where("id % 100 = 0").select(F.col("id").alias("query_id"))
+    q = _asked(s, d).select(F.col("id").alias("query_id"))
     hit = q.join(top, "query_id", "left").join(g, "id", "left")
     stale = F.coalesce(F.date_add("last_validated", days) < F.lit(TODAY).cast("date"), F.lit(False))
     return hit.select("query_id", F.when(F.col("id").isNull(), "No relevant entries found").otherwise(F.coalesce("summary", F.lit(""))).alias("answer"), "confidence", F.date_format("last_validated", "yyyy-MM-dd").alias("last_validated"), stale.alias("stale"))

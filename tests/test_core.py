@@ -462,3 +462,10 @@ def test_best_keeps_ties_in_order_of_the_id_over_many_blocks():
         best.add(score[:, i : i + 100].copy(), ids[i : i + 100])
     q, i, s = best.rows()
     assert [(a, b, c) for a, b, c in zip(q, i, s)] == [(a, b, -c) for a in range(3) for c, b in sorted(zip(-np.round(score[a], 4), ids))[:4]]
+
+
+def test_bodies_and_queries_are_found_without_a_shuffle_of_texts(spark, small):
+    from lodestream.plans import knowledge
+
+    for df in (knowledge._bodies(spark, small), knowledge._asked(spark, small)):
+        assert "Exchange hashpartitioning" not in df._jdf.queryExecution().executedPlan().toString()
