@@ -171,8 +171,9 @@ def _bm25(s, d, k=5):
 def _indexed(s, d):
     """The same search over a persisted index that is filled in two runs: what was there before the last mark, then all."""
     index, old = retrieval.PostingIndex(s, shared_path(s, "postings")), _new(s, d).select(F.col("entry_no").alias("id"))
-    index.refresh(_bodies(s, d).join(old, "id", "left_anti"))
-    index.refresh(_bodies(s, d))
+    bodies = _bodies(s, d)
+    index.refresh(bodies.join(hinted(materialize(old, "new-entries")), "id", "left_anti"))
+    index.refresh(bodies)
     return index.search(_asked(s, d))
 
 

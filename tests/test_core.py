@@ -469,3 +469,10 @@ def test_bodies_and_queries_are_found_without_a_shuffle_of_texts(spark, small):
 
     for df in (knowledge._bodies(spark, small), knowledge._asked(spark, small)):
         assert "Exchange hashpartitioning" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_refresh_of_the_index_shuffles_nothing(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"cold cache number {i}") for i in range(50)], "id long, text string").repartition(3).localCheckpoint()
+    index = retrieval.PostingIndex(spark, str(tmp_path / "i"), buckets=4)
+    new, n = shuffled(spark, lambda: index.refresh(docs))
+    assert new and n <= 10 and spark.read.parquet(str(tmp_path / "i/postings")).count() == 200
