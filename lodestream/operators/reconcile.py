@@ -13,14 +13,15 @@ REASON_CAP = 200
 
 
 def judge(members: DataFrame) -> DataFrame:
-    """Deterministic judgement of (cluster, id, text, label): cluster, action, primary, n_members.
+    """Deterministic judgement of (cluster, id, text or its digest, label): cluster, action, primary, n_members.
 
     Equal texts are duplicates (the oldest stays), different labels contradict (the newest stays), four or more members need a
     second look, a single member is unrelated, all else related.
     """
+    digest = F.col("digest") if "digest" in members.columns else F.md5("text")
     g = members.groupBy("cluster").agg(
         F.count("*").alias("n_members"), F.min("id").alias("lo"), F.max("id").alias("hi"),
-        F.min(F.md5("text")).alias("t0"), F.max(F.md5("text")).alias("t1"), F.min(F.coalesce("label", F.lit(""))).alias("l0"), F.max(F.coalesce("label", F.lit(""))).alias("l1"),
+        F.min(digest).alias("t0"), F.max(digest).alias("t1"), F.min(F.coalesce("label", F.lit(""))).alias("l0"), F.max(F.coalesce("label", F.lit(""))).alias("l1"),
     )
     one = F.col("n_members") == 1
     action = (
@@ -135,6 +136,7 @@ def rejudge(proposals: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def prompt_tokens(members: DataFrame) -> DataFrame:
-    """Estimated tokens of each cluster in a judge's prompt: a quarter of its characters; a missing text counts as its placeholder."""
-    n = F.floor(F.char_length(F.coalesce("text", F.lit("(missing)"))) / 4)
+    """Estimated tokens of each cluster in a judge's prompt: a quarter of its characters; a missing text counts as its placeholder. In place of the text, members may have its length as ``text_chars``."""
+    chars = F.coalesce("text_chars", F.lit(len("(missing)"))) if "text_chars" in members.columns else F.char_length(F.coalesce("text", F.lit("(missing)")))
+    n = F.floor(chars / 4)
     return members.groupBy("cluster").agg(F.sum(n).alias("prompt_tokens"))

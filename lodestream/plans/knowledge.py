@@ -42,7 +42,8 @@ def _components(s, d):
 
 
 def _members(s, d):
-    docs = D(s, d).select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("label"), F.col("source").alias("origin"))
+    """The documents of each cluster, with digest and length in place of their text."""
+    docs = D(s, d).select(F.col("doc_id").alias("id"), F.md5("text").alias("digest"), F.char_length("text").alias("text_chars"), F.col("lang").alias("label"), F.col("source").alias("origin"))
     return _components(s, d).join(docs, "id")
 
 

@@ -476,3 +476,12 @@ def test_refresh_of_the_index_shuffles_nothing(spark, tmp_path):
     index = retrieval.PostingIndex(spark, str(tmp_path / "i"), buckets=4)
     new, n = shuffled(spark, lambda: index.refresh(docs))
     assert new and n <= 10 and spark.read.parquet(str(tmp_path / "i/postings")).count() == 200
+
+
+def test_judging_needs_digests_and_lengths_only(spark, small):
+    from lodestream.plans import knowledge
+
+    assert "text" not in knowledge._members(spark, small).columns
+    m = spark.createDataFrame([(1, 1, "aaaa", "en"), (1, 2, "aaaa", "de"), (4, 4, "b" * 11, None), (4, 5, "c", "x"), (6, 6, None, "x")], "cluster long, id long, text string, label string")
+    lean = m.select("cluster", "id", F.md5("text").alias("digest"), F.char_length("text").alias("text_chars"), "label")
+    assert rows(reconcile.judge(lean)) == rows(reconcile.judge(m)) and rows(reconcile.prompt_tokens(lean)) == rows(reconcile.prompt_tokens(m))
